@@ -82,7 +82,7 @@ class Model:
         return -np.expm1(-np.maximum(total, 0)), spans
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 8000, train_bytes: int = 20_000, max_features: int = 8192, rounds: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 8000, train_bytes: int = 20_000, max_features: int = 2048, rounds: int = 300) -> Model:
     """A model from labels of 0 and 1 for documents; docs and labels share id_col."""
     sample = training_sample(docs, labels, id_col, text_col, label_col, train_docs, train_bytes)
 
@@ -131,7 +131,7 @@ def _select(pos: np.ndarray, df: np.ndarray, positives: float, n: int, most: int
     p, q = (pos + 0.5) / (positives + 1), (df - pos + 0.5) / (n - positives + 1)
     gain = np.where((df >= 3) & (p > q), pos * np.log(p / q), 0)
     order = np.lexsort((np.arange(len(df)), -gain))[:most]
-    return np.sort(order[gain[order] > 3])
+    return np.sort(order[gain[order] > 12])
 
 
 def _train(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, n: np.ndarray, y: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, float]:
@@ -146,7 +146,7 @@ def _train(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, n: np.nda
         slope = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-6, 500)), 1.0)
         dz = slope[doc] / (1 + np.exp(-z))
         grad = np.append(np.bincount(feature, dz[sentence], k), dz.sum() + (slope * rest).sum() / (1 + np.exp(-theta[k])))
-        grad = grad / len(y) + np.append(1e-5 * theta[:k], 0)
+        grad = grad / len(y) + np.append(1e-6 * theta[:k], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta[:k], float(theta[k])
