@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of df as the optimiser knows them (files' sizes for a table); where it knows none, the bytes of its text."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 62:
         size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return size
