@@ -16,17 +16,19 @@ any other. Other columns are ignored, whatever their names. No documents, no row
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
-from collections import deque
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixspark.llm.common import plan_bytes, table
-from mixspark.llm.text import texts_of
+from mixspark.llm.text import pieces, texts_of
 
 SIZE = 4096
 END = 2
@@ -35,17 +37,35 @@ AFTER_SENTENCE, WITHIN = 2, 64
 #: Bytes of stored table that make up a shard.
 SHARD = 3 << 20
 #: Words that a worker remembers the ids of, at most; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Shortest window whose length counts as a power of two.
+LEAST_POWER = 64
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_WHITE = regex.compile(r"[^\S\x1c-\x1f]+")
 
 
 class Encoder:
-    """Ids of texts, by way of their words: the tokenizer drops white space and never joins across it."""
+    """Ids of texts, by way of their words: the tokenizer drops white space and never joins across it.
+
+    A word that isn't known yet is normalised and split here as the tokenizer file says
+    (NFC, lower case, its pattern, its bytes as characters); its model gives the ids.
+    """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path) as f:
+            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # White space to the tokenizer is what Unicode calls so; Python adds the four separators.
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"))
+        # Printable bytes stand for themselves, the others for the characters from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = [b for b in range(256) if b not in set(plain)]
+        self.character = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
         self.forget()
 
     def forget(self) -> None:
@@ -53,40 +73,53 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length, self.stops = (np.zeros(1 << 14, k) for k in (np.int64, np.int32, bool))
 
+    def _word(self, word: str) -> list[int]:
+        if word.isascii():
+            parts = self.pattern.findall(word.lower())
+        else:
+            word = unicodedata.normalize("NFC", word)
+            word = "".join([c.lower() for c in word]) if "\u03a3" in word else word.lower()
+            parts = ["".join([self.character[b] for b in x.encode()]) for x in self.pattern.findall(word)]
+        tokenize = self.tokenizer.model.tokenize
+        return [t.id for x in parts for t in tokenize(x)]
+
     def _learn(self, words: list[str]) -> None:
-        n = len(self.number)
+        n, tokenize = len(self.number), self._word
+        got = [tokenize(w) for w in words]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
         while n + len(words) > len(self.at):
             self.at, self.length, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length, self.stops))
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            for w, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = got.ids
-                end = self.used + len(ids)
-                while end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : end] = ids
-                self.at[n], self.length[n], self.stops[n] = self.used, len(ids), w[-1] in ".!?"
-                self.number[w], self.used, n = n, end, n + 1
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text, and after how many of them a sentence ends."""
-        # str.split also splits at the four separators 0x1C to 0x1F, which are ordinary characters to the tokenizer.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            return ids, np.zeros(0, np.int64)
-        words = text.split()
-        numbers = list(map(self.number.get, words))
-        if None in numbers:
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        self.at[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.length[n : n + len(words)] = sizes
+        self.stops[n : n + len(words)] = [w[-1] in ".!?" for w in words]
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        self.used += total
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, the end of each text in them, and where sentences end."""
+        words, counts = [], []
+        for t in texts:
+            # str.split also splits at the four separators 0x1C to 0x1F, which are ordinary characters to the tokenizer.
+            own = [x for x in _WHITE.split(t) if x] if _SEPARATORS.search(t) else t.split()
+            words += own
+            counts.append(len(own))
+        n = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(n < 0)
+        if len(missing):
             if len(self.number) > REMEMBERED:
                 self.forget()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.number])
-            numbers = [self.number[w] for w in words]
-        n = np.array(numbers, np.int64)
+                missing = np.arange(len(words))
+            self._learn(list(dict.fromkeys([words[i] for i in missing.tolist()])))
+            n[missing] = np.fromiter([self.number[words[i]] for i in missing.tolist()], np.int64, len(missing))
         length = self.length[n].astype(np.int64)
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(n) else 0
         ids = self.flat[np.arange(total) + np.repeat(self.at[n] - (ends - length), length)]
-        return ids, ends[self.stops[n]]
+        return ids, np.concatenate([[0], ends])[np.cumsum(counts)], ends[self.stops[n]]
 
 
 @lru_cache(1)
@@ -100,34 +133,37 @@ def cheapest_cuts(positions: np.ndarray, penalty: np.ndarray, size: int = SIZE)
     if n < 2:
         return positions[:1], 0
     powers: dict[int, list[int]] = {}
-    p = 1
-    while p <= size:
+    p = LEAST_POWER
+    while p < size:
         i = np.minimum(np.searchsorted(positions, positions - p), n - 1)
-        for j in np.flatnonzero(positions[i] == positions - p):
-            powers.setdefault(int(j), []).append(int(i[j]))
+        j = np.flatnonzero(positions[i] == positions - p)
+        for a, b in zip(j.tolist(), i[j].tolist(), strict=True):
+            powers.setdefault(a, []).append(b)
         p *= 2
-    pos, pen = positions.tolist(), penalty.tolist()
+    pos = positions.tolist()
     cost, came = [0] * n, [0] * n
-    value = [0] * n  # cost[i] + pos[i]
-    queue: deque[int] = deque([0])
-    for j in range(1, n):
-        x = pos[j]
+    # The monotone queue, from `head` on: positions, least costs plus position, numbers.
+    at, least, number, head = [0], [0], [0], 0
+    get = powers.get
+    for j, (x, pen) in enumerate(zip(pos, penalty.tolist(), strict=True)):
+        if not j:
+            continue
         low = x - size
-        while pos[queue[0]] < low:
-            queue.popleft()
-        i = queue[0]
-        best = value[i] - low
-        if j in powers:
-            for k in powers[j]:
+        while at[head] < low:
+            head += 1
+        best, i = least[head] - low, number[head]
+        if (more := get(j)) is not None:
+            for k in more:
                 if cost[k] < best:
                     best, i = cost[k], k
-        best += pen[j]
+        best += pen
         cost[j], came[j] = best, i
         v = best + x
-        value[j] = v
-        while queue and value[queue[-1]] >= v:
-            queue.pop()
-        queue.append(j)
+        while len(least) > head and least[-1] >= v:
+            del at[-1], least[-1], number[-1]
+        at.append(x)
+        least.append(v)
+        number.append(j)
     cuts, j = [], n - 1
     while j:
         cuts.append(pos[j])
@@ -135,15 +171,24 @@ def cheapest_cuts(positions: np.ndarray, penalty: np.ndarray, size: int = SIZE)
     return np.array([0, *reversed(cuts)], np.int64), cost[-1]
 
 
+def _merged(runs: list[np.ndarray]) -> np.ndarray:
+    """Distinct numbers of some ascending runs, ascending."""
+    x = np.concatenate(runs)
+    x.sort(kind="stable")
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def may_cut(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Where cuts may be, with their penalties: after documents and sentences, and within those that exceed a window."""
-    positions = np.unique(np.concatenate([[0], doc_ends, sentence_ends]))
+    positions = _merged([np.zeros(1, np.int64), doc_ends, sentence_ends])
     wide = np.flatnonzero(np.diff(positions) > size)
-    hard = [np.arange(positions[k] + size, positions[k + 1], size) for k in wide]
-    positions = np.unique(np.concatenate([positions, *hard]))
+    if len(wide):
+        positions = _merged([positions, *[np.arange(positions[k] + size, positions[k + 1], size) for k in wide]])
     penalty = np.full(len(positions), WITHIN)
-    penalty[np.isin(positions, sentence_ends)] = AFTER_SENTENCE
-    penalty[np.isin(positions, doc_ends)] = 0
+    penalty[np.searchsorted(positions, sentence_ends)] = AFTER_SENTENCE
+    penalty[np.searchsorted(positions, doc_ends)] = 0
     return positions, penalty
 
 
@@ -160,21 +205,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoder(public_tokenizers.path(vocabulary))
         rows = rows.sort_by([("_id", "ascending"), ("_text", "ascending")])
-        parts, sentences, sizes, total = [], [], [], 0
-        for text in texts_of(rows.column("_text")):
-            ids, ends = encoder.encode(text)
-            parts += [ids, np.array([END], np.uint32)]
-            sentences.append(ends + total)
-            sizes.append(len(ids) + 1)
-            total += len(ids) + 1
-        ids, doc_ends = np.concatenate(parts).astype("<u4"), np.cumsum(sizes)
+        parts, sentences, ends, total = [], [], [], 0
+        for part in pieces(rows, "_text"):
+            ids, stop, stops = encoder.encode(texts_of(part.column("_text")))
+            # An end id goes in after each text: what lies behind it moves by one for each.
+            sentences.append(stops + np.searchsorted(stop, stops) + total)
+            ids = np.insert(ids, stop, END)
+            ends.append(stop + np.arange(1, len(stop) + 1) + total)
+            parts.append(ids)
+            total += len(ids)
+        ids, doc_ends = np.concatenate(parts).astype("<u4"), np.concatenate(ends)
+        sizes = np.diff(doc_ends, prepend=0)
         cuts, _ = cheapest_cuts(*may_cut(doc_ends, np.concatenate(sentences), size), size)
-        edges = np.unique(np.concatenate([[0], doc_ends, cuts]))
+        edges = _merged([doc_ends, cuts])
         begin, end = edges[:-1], edges[1:]
         doc, seq = np.searchsorted(doc_ends, begin, "right"), np.searchsorted(cuts, begin, "right") - 1
         raw = memoryview(ids).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        sizes = np.array(sizes)
         columns = [rows.column("_id").take(pa.array(doc)), pa.array(begin - (doc_ends - sizes)[doc]), pa.array(end - begin), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(seq + (key[0].as_py() << 36)), pa.array(begin - cuts[seq])]
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         if with_ids:
