@@ -74,7 +74,7 @@ class Encoder:
         self.at, self.length, self.stops = (np.zeros(1 << 14, k) for k in (np.int64, np.int32, bool))
 
     def _word(self, word: str) -> list[int]:
-        if word.isascii():
+        if word.isascii() and word.isprintable():
             parts = self.pattern.findall(word.lower())
         else:
             word = unicodedata.normalize("NFC", word)
