@@ -227,8 +227,46 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def _bitmap(keys: np.ndarray) -> bytes:
+    """Parity of the number of keys on each of so many bits that there are two for a key or more."""
+    bits = max(64, 1 << (2 * len(keys) - 1).bit_length())
+    return np.packbits((np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits that differ, the wider bitmap folded: no more than the sets have different members."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked; texts: _id, _text."""
+    """The pairs (a, b) whose sets are linked; texts: _id, _text.
+
+    Parity bitmaps, some thirty times smaller than the sets, first bound the difference of
+    each pair from below and rule out nearly all that aren't linked; whole sets decide the rest.
+    """
+
+    def few(x: bytes, y: bytes) -> bool:
+        nx, ny = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+        need = -(-percent * (nx + ny) // (100 + percent))
+        return _differ(np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)) <= nx + ny - 2 * need
+
+    def equal(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if not len(x) or not len(y):
+            return False
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        return _linked(len(x), len(y), int((y[at] == x).sum()), percent)
+
+    maybe = _compared(pairs, texts, n, lambda keys: len(keys).to_bytes(8, "little") + _bitmap(keys), few)
+    return _compared(maybe, texts, n, lambda keys: keys.tobytes(), equal).distinct()
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, n: int, form, test) -> DataFrame:
+    """The pairs (a, b) that pass the test of what is formed of their sets."""
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
 
@@ -236,20 +274,16 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
         for batch in batches:
             for part in pieces(batch, "_text"):
                 keys, at = shingle_sets(part.column("_text"), n)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([form(keys[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "set"])
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                keep.append(bool(len(x)) and bool(len(y)) and _linked(len(x), len(y), int((y[at] == x).sum()), percent))
+            keep = [test(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     found = texts.join(small(ids, ids.count()), "_id").mapInArrow(sets, "id bigint, set binary")
     joined = pairs.join(found.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE) -> DataFrame:
