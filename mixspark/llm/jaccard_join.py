@@ -35,7 +35,7 @@ from mixspark.llm.text import mix, pieces, split
 #: Bytes of stored table that make up one range of the index.
 RANGE = 8 << 20
 #: N-grams that are put in order by their frequency, the most frequent ones: a bound of what is broadcast.
-HEAVY = 50_000
+HEAVY = 200_000
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
@@ -92,7 +92,7 @@ def _stats(n: int):
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * 4), pa.array(mins.ravel())), none, none], _STATS_NAMES)
                 waiting.append(sets)
                 held += len(sets)
-                if held > 2_000_000:
+                if held > 6_000_000:
                     yield _frequent(waiting)
                     waiting, held = [], 0
         if waiting:
@@ -107,7 +107,7 @@ _STATS_NAMES = [x.split()[0] for x in _STATS.split(", ")]
 def _frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
     """N-grams that several of these sets have, with how many of them do."""
     keys, c = np.unique(np.concatenate(sets), return_counts=True)
-    keys, c = keys[c >= 4], c[c >= 4]
+    keys, c = keys[c >= 3], c[c >= 3]
     none = pa.nulls(len(keys), pa.int64())
     return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(keys), pa.list_(pa.int64())), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], _STATS_NAMES)
 
@@ -292,7 +292,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     bits = max(0, math.ceil(math.log2(max(1, plan_bytes(docs, text_col) / range_bytes))))
     stats = cut(texts.mapInArrow(_stats(n), _STATS))
     rows = stats.where("token IS NULL")
-    top = stats.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).where("c >= 16").orderBy(F.desc("c"), "token").limit(HEAVY).collect()
+    top = stats.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).where("c >= 6").orderBy(F.desc("c"), "token").limit(HEAVY).collect()
     heavy = np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
 
     # 1. Classes of equal sets.
