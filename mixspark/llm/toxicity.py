@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import held_out, table, training_sample
-from mixspark.llm.text import NOT_LETTER, PIECE, Words, chain, pieces, split
+from mixspark.llm.common import cut, held_out, table, training_sample
+from mixspark.llm.text import NOT_LETTER, PIECE, Words, chain, pieces, split, unique_by_row
 
 #: Lengths in bytes of the word beginnings that are features, besides whole words.
 BEGINNINGS = (4, 6)
@@ -84,54 +84,54 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 8000, train_bytes: int = 20_000, max_features: int = 2048, rounds: int = 300) -> Model:
     """A model from labels of 0 and 1 for documents; docs and labels share id_col."""
-    sample = training_sample(docs, labels, id_col, text_col, label_col, train_docs, train_bytes)
+    sample = cut(training_sample(docs, labels, id_col, text_col, label_col, train_docs, train_bytes).select("_id", F.col("_label").cast("int").alias("_label"), "_text"))
+    n_docs, positives = sample.agg(F.count("*"), F.count_if(F.col("_label") > 0)).first()
+    if not 0 < positives < n_docs:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
+
+    def frequencies(batches):
+        for batch in batches:
+            for part in pieces(batch, "_text", PIECE):
+                words = split(part.column("_text"), NOT_LETTER)
+                row, key = unique_by_row(np.tile(words.row, 1 + len(BEGINNINGS)), _features(words).ravel())
+                keys, back = np.unique(key, return_inverse=True)
+                toxic = part.column("_label").to_numpy() > 0
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(back, minlength=len(keys))), pa.array(np.bincount(back[toxic[row]], minlength=len(keys)))], ["key", "df", "pos"])
+
+    # The features with the largest log-likelihood ratio for toxic documents, in three documents at least.
+    found = sample.mapInArrow(frequencies, "key bigint, df bigint, pos bigint").groupBy("key").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos")).where("df >= 3")
+    ratio = F.ln(((F.col("pos") + 0.5) / (positives + 1)) / ((F.col("df") - F.col("pos") + 0.5) / (n_docs - positives + 1)))
+    best = found.withColumn("gain", F.col("pos") * ratio).where("gain > 12").orderBy(F.desc("gain"), "key").limit(max_features)
+    keys = np.sort(np.array([r.key for r in best.collect()], np.int64).view(np.uint64))
 
     def bags(batches):
         for batch in batches:
             for part in pieces(batch, "_text", PIECE):
                 words = split(part.column("_text"), NOT_LETTER)
-                sentence, hashes = _sentences(words), _features(words).ravel()
-                sentence, row = np.tile(sentence, 1 + len(BEGINNINGS)), np.tile(words.row, 1 + len(BEGINNINGS))
-                order = np.lexsort((hashes, sentence))
-                sentence, row, hashes = sentence[order], row[order], hashes[order]
-                keep = np.ones(len(row), bool)
-                keep[1:] = (sentence[1:] != sentence[:-1]) | (hashes[1:] != hashes[:-1])
-                sentence, row, hashes = sentence[keep], row[keep], hashes[keep]
-                at = np.searchsorted(row, np.arange(words.rows + 1))
-                rows = [(sentence[a:b] - (sentence[a] if b > a else 0), hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                sentence = _sentences(words)
                 new = np.ones(len(sentence), bool)
                 new[1:] = sentence[1:] != sentence[:-1]
-                n = np.bincount(row[new], minlength=words.rows)
-                yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.int64()), part.column("_label").cast(pa.int32()), pa.array(n.astype(np.int64)), pa.array([s.astype(np.int32).tobytes() for s, _ in rows], pa.binary()), pa.array([h.tobytes() for _, h in rows], pa.binary())], ["id", "y", "n", "s", "h"])
+                n = np.bincount(words.row[new], minlength=words.rows)
+                first = sentence[np.minimum(np.searchsorted(words.row, np.arange(words.rows)), max(len(sentence) - 1, 0))] if len(sentence) else np.zeros(words.rows, np.int64)
+                hashes = _features(words)
+                at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+                kind, word = np.nonzero(keys[at] == hashes) if len(keys) else (np.zeros(0, np.int64),) * 2
+                pair = np.unique(sentence[word] * max(len(keys), 1) + at[kind, word]) if len(word) else np.zeros(0, np.int64)
+                of, feature = pair // max(len(keys), 1), pair % max(len(keys), 1)
+                row = words.row[np.searchsorted(sentence, of)] if len(of) else of
+                edge = np.searchsorted(row, np.arange(words.rows + 1))
+                rows = [((of[a:b] - first[k]).astype(np.int32).tobytes(), feature[a:b].astype(np.int32).tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.int64()), part.column("_label"), pa.array(n), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["id", "y", "n", "s", "f"])
 
     # Repeatable: the sums below run in the order of the ids.
-    got = sample.mapInArrow(bags, "id bigint, y int, n bigint, s binary, h binary").toPandas().sort_values("id")
+    got = sample.mapInArrow(bags, "id bigint, y int, n bigint, s binary, f binary").toPandas().sort_values("id")
     y = (got.y.to_numpy() > 0).astype(float)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
-    inner, hashes = [np.frombuffer(s, np.int32) for s in got.s], [np.frombuffer(h, np.uint64) for h in got.h]
-    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    hashes, inner = np.concatenate(hashes), np.concatenate(inner).astype(np.int64)
-    keys, back = np.unique(hashes, return_inverse=True)
-    _, per = np.unique(doc * len(keys) + back, return_index=True)
-    pos, df = np.bincount(back[per], y[doc[per]], len(keys)), np.bincount(back[per], minlength=len(keys)).astype(float)
-    kept = _select(pos, df, y.sum(), len(y), max_features)
-    place = np.full(len(keys), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[back] >= 0
-    feature, sentence = place[back[use]], np.unique(doc[use] * (inner.max(initial=0) + 1) + inner[use], return_inverse=True)
-    of_sentence = sentence[0] // (inner.max(initial=0) + 1)
-    weights, bias = _train(feature, sentence[1], of_sentence, got.n.to_numpy(float), y, len(kept), rounds)
-    return Model(keys[kept], weights, bias)
-
-
-def _select(pos: np.ndarray, df: np.ndarray, positives: float, n: int, most: int) -> np.ndarray:
-    """Features with the largest log-likelihood ratio for toxic documents, in three documents at least."""
-    p, q = (pos + 0.5) / (positives + 1), (df - pos + 0.5) / (n - positives + 1)
-    gain = np.where((df >= 3) & (p > q), pos * np.log(p / q), 0)
-    order = np.lexsort((np.arange(len(df)), -gain))[:most]
-    return np.sort(order[gain[order] > 12])
+    inner, feature = [np.frombuffer(x, np.int32) for x in got.s], [np.frombuffer(x, np.int32) for x in got.f]
+    doc = np.repeat(np.arange(len(y)), np.fromiter(map(len, inner), np.int64, len(y)))
+    wide = int(got.n.max()) + 1
+    sentences, sentence = np.unique(doc * wide + np.concatenate(inner), return_inverse=True)
+    weights, bias = _train(np.concatenate(feature), sentence, sentences // wide, got.n.to_numpy(float), y, len(keys), rounds)
+    return Model(keys, weights, bias)
 
 
 def _train(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, n: np.ndarray, y: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, float]:
