@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from mixspark.functions.columns import clip, pearson
 
-_P, _T = F.col("pred"), F.col("true")
 
 
 def pairs(pred: DataFrame, true: DataFrame) -> DataFrame:
@@ -20,11 +19,11 @@ def _by(df: DataFrame, per_type: bool):
 
 
 def rmse(df: DataFrame, per_type: bool = False) -> DataFrame:
-    return _by(df, per_type).agg(F.sqrt(F.avg((_P - _T) * (_P - _T))).alias("rmse"))
+    return _by(df, per_type).agg(F.sqrt(F.avg((F.col("pred") - F.col("true")) * (F.col("pred") - F.col("true")))).alias("rmse"))
 
 
 def mae(df: DataFrame, per_type: bool = False) -> DataFrame:
-    return _by(df, per_type).agg(F.avg(F.abs(_P - _T)).alias("mae"))
+    return _by(df, per_type).agg(F.avg(F.abs(F.col("pred") - F.col("true"))).alias("mae"))
 
 
 def ranked(df: DataFrame, per_type: bool) -> DataFrame:
@@ -45,13 +44,13 @@ def ranked(df: DataFrame, per_type: bool) -> DataFrame:
 
 def correlation(df: DataFrame, per_type: bool = False, method: str = "pearson") -> DataFrame:
     """Correlation, 0 where a side is constant; spearman: of mean ranks."""
-    return _by(ranked(df, per_type) if method == "spearman" else df, per_type).agg(pearson(_P, _T).alias(method))
+    return _by(ranked(df, per_type) if method == "spearman" else df, per_type).agg(pearson(F.col("pred"), F.col("true")).alias(method))
 
 
 def jsd(df: DataFrame, eps: float = 1e-10) -> DataFrame:
     """spot_id, jsd: the Jensen-Shannon divergence of each spot, natural logarithm."""
     w = Window.partitionBy("spot_id")
-    c = df.select("spot_id", clip(_P, eps, 1 - eps).alias("p"), clip(_T, eps, 1 - eps).alias("q"))
+    c = df.select("spot_id", clip(F.col("pred"), eps, 1 - eps).alias("p"), clip(F.col("true"), eps, 1 - eps).alias("q"))
     c = c.select("spot_id", (F.col("p") / F.sum("p").over(w)).alias("p"), (F.col("q") / F.sum("q").over(w)).alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
     return c.groupBy("spot_id").agg((F.sum(F.col("p") * F.ln(F.col("p") / F.col("m"))) / 2 + F.sum(F.col("q") * F.ln(F.col("q") / F.col("m"))) / 2).alias("jsd"))
 
@@ -61,7 +60,7 @@ def evaluate(df: DataFrame) -> DataFrame:
     overall = rmse(df).join(mae(df)).join(correlation(df)).join(correlation(df, method="spearman")).join(jsd(df).agg(F.avg("jsd").alias("jsd")))
     names = ["rmse", "mae", "pearson", "spearman", "jsd"]
     a = overall.select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("cell_type"), F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("metric", "value"))
-    by = df.groupBy("cell_type").agg(F.sqrt(F.avg((_P - _T) * (_P - _T))).alias("rmse"), F.avg(F.abs(_P - _T)).alias("mae"), pearson(_P, _T).alias("pearson"), F.avg(_T).alias("mean_true"), F.avg(_P).alias("mean_pred"))
+    by = df.groupBy("cell_type").agg(F.sqrt(F.avg((F.col("pred") - F.col("true")) * (F.col("pred") - F.col("true")))).alias("rmse"), F.avg(F.abs(F.col("pred") - F.col("true"))).alias("mae"), pearson(F.col("pred"), F.col("true")).alias("pearson"), F.avg(F.col("true")).alias("mean_true"), F.avg(F.col("pred")).alias("mean_pred"))
     by = by.join(correlation(df, True, "spearman"), "cell_type")
     names = ["rmse", "mae", "pearson", "spearman", "mean_true", "mean_pred"]
     return a.unionByName(by.select(F.lit("per_cell_type").alias("scope"), "cell_type", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("metric", "value")))
@@ -69,8 +68,8 @@ def evaluate(df: DataFrame) -> DataFrame:
 
 def rare_detection(df: DataFrame, threshold: float = 0.05) -> DataFrame:
     """precision, recall, f1 of finding types that are rare (above 0 and below threshold); NaN where none is."""
-    rare, found = (_T > 0) & (_T < threshold), _P > threshold / 2
-    n = df.agg(F.count_if(rare & found).alias("tp"), F.count_if(rare & ~found).alias("fn"), F.count_if((_T == 0) & found).alias("fp"), F.count_if(rare).alias("n"))
+    rare, found = (F.col("true") > 0) & (F.col("true") < threshold), F.col("pred") > threshold / 2
+    n = df.agg(F.count_if(rare & found).alias("tp"), F.count_if(rare & ~found).alias("fn"), F.count_if((F.col("true") == 0) & found).alias("fp"), F.count_if(rare).alias("n"))
     p, r = F.col("tp") / (F.col("tp") + F.col("fp") + 1e-10), F.col("tp") / (F.col("tp") + F.col("fn") + 1e-10)
     nan = F.lit(float("nan"))
     return n.select(*[F.when(F.col("n") == 0, nan).otherwise(x).alias(c) for c, x in (("precision", p), ("recall", r), ("f1", 2 * p * r / (p + r + 1e-10)))])
