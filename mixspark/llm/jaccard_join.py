@@ -346,7 +346,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         ends = ends.join(label.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
 
     # Every id's class, its cluster, and what links of clusters and shared ids join that to.
-    several = shared.join(stands, shared.a == stands._id, "left_semi")  # ids with several texts
+    # Ids with several texts: they stand for a class as well, or are copies of more than one.
+    more = shared.groupBy(F.col("a").alias("_id")).count().where("count > 1").select("_id").unionByName(stands)
+    several = shared.join(more, shared.a == more._id, "left_semi")
     for c in ("a", "b"):
         several = several.join(label.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     joined = components(ends.select("a", "b").unionByName(several.select("a", "b")))
