@@ -16,10 +16,12 @@ any other. Other columns are ignored, whatever their names. No documents, no row
 from __future__ import annotations
 
 import math
+import string
 import unicodedata
 import zlib
+from collections import defaultdict
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,8 @@ SHARD = 3 << 20
 REMEMBERED = 1_000_000
 #: Shortest window whose length counts as a power of two.
 LEAST_POWER = 64
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_PUNCTUATION = string.punctuation
 _WHITE = regex.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -49,6 +52,8 @@ class Encoder:
 
     A word that isn't known yet is normalised and split here as the tokenizer file says
     (NFC, lower case, its pattern, its bytes as characters); its model gives the ids.
+    Words of letters with punctuation behind them, which are most, need no pattern;
+    what words consist of is remembered too, as it recurs in words of other case or ending.
     """
 
     def __init__(self, path: str):
@@ -69,34 +74,44 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length, self.stops = (np.zeros(1 << 14, k) for k in (np.int64, np.int32, bool))
 
-    def _word(self, word: str) -> list[int]:
-        if word.isascii() and word.isprintable():
-            parts = self.pattern.findall(word.lower())
-        else:
-            word = unicodedata.normalize("NFC", word)
+    def _part(self, part: str) -> tuple[int, ...]:
+        text = part if part.isascii() and part.isprintable() else "".join([self.character[b] for b in part.encode()])
+        ids = self.parts[part] = tuple([t.id for t in self.tokenizer.model.tokenize(text)])
+        return ids
+
+    def _learn(self, words: list[str], n: int) -> None:
+        """The ids of words, which have the numbers from n on."""
+        got: list[int] = []
+        ends, known, part = [], self.parts.get, self._part
+        for word in words:
+            if not word.isascii():
+                word = unicodedata.normalize("NFC", word)
             word = "".join([c.lower() for c in word]) if "\u03a3" in word else word.lower()
-            parts = ["".join([self.character[b] for b in x.encode()]) for x in self.pattern.findall(word)]
-        tokenize = self.tokenizer.model.tokenize
-        return [t.id for x in parts for t in tokenize(x)]
-
-    def _learn(self, words: list[str]) -> None:
-        n, tokenize = len(self.number), self._word
-        got = [tokenize(w) for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
+            stem = word.rstrip(_PUNCTUATION)
+            if stem.isalpha():
+                got += known(stem) or part(stem)
+                if len(stem) < len(word):
+                    tail = word[len(stem) :]
+                    got += known(tail) or part(tail)
+            else:
+                for x in self.pattern.findall(word):
+                    got += known(x) or part(x)
+            ends.append(len(got))
+        sizes = np.diff(np.array(ends, np.int64), prepend=0)
         while n + len(words) > len(self.at):
             self.at, self.length, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length, self.stops))
-        total = int(sizes.sum())
+        total = len(got)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.array(got, np.uint32)
         self.at[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.length[n : n + len(words)] = sizes
         self.stops[n : n + len(words)] = [w[-1] in ".!?" for w in words]
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,17 +119,16 @@ class Encoder:
         words, counts = [], []
         for t in texts:
             # str.split also splits at the four separators 0x1C to 0x1F, which are ordinary characters to the tokenizer.
-            own = [x for x in _WHITE.split(t) if x] if _SEPARATORS.search(t) else t.split()
+            own = [x for x in _WHITE.split(t) if x] if any(x in t for x in _SEPARATORS) else t.split()
             words += own
             counts.append(len(own))
-        n = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(n < 0)
-        if len(missing):
-            if len(self.number) > REMEMBERED:
-                self.forget()
-                missing = np.arange(len(words))
-            self._learn(list(dict.fromkeys([words[i] for i in missing.tolist()])))
-            n[missing] = np.fromiter([self.number[words[i]] for i in missing.tolist()], np.int64, len(missing))
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        known = len(self.number)
+        # A word that isn't known gets the next number.
+        n = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number) > known:
+            self._learn([*islice(reversed(self.number), len(self.number) - known)][::-1], known)
         length = self.length[n].astype(np.int64)
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(n) else 0
