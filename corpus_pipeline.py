@@ -17,32 +17,37 @@ from mixspark.llm.common import cut, held_out, table
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CARRIED = tuple(COLUMNS[1:])
 #: Below this score a language is not taken as identified.
 LEAST_LANGUAGE_SCORE = 0.5
 LEAST_QUALITY = 0.7
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified: neither without letters nor in doubt between languages."""
+    """Documents whose language is identified: neither without letters nor in doubt between languages. Each row goes or stays by its own text."""
     model = language_id.fit(docs, ~held_out("doc_id", 4, 2))
-    found = language_id.identify(docs, model)
-    return _keep(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc_id"))
+    found = language_id.identify(docs, model, carry=CARRIED)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier takes for good."""
+    """Documents that the quality classifier takes for good. Each row goes or stays by its own text."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
-    return _keep(docs, quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select("doc_id"))
+    return quality.score(docs, model, carry=CARRIED).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
+    """One document of each group of near copies: the one with the least id.
+
+    Of rows that repeat its id the one with the least text stays (null before all; then
+    the least lang, source, n_chars). Rows without an id are in no group and stay.
+    """
     found = jaccard_join.similar(docs)
-    return _keep(docs, found.where("doc_id = component_id").select("doc_id"))
+    ids = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    once, repeated = ids.where("rows = 1").select("doc_id"), ids.where("rows > 1").select("doc_id")
+    kept = docs.where("doc_id IS NOT NULL").join(once, "doc_id", "left_semi").select(*COLUMNS)
+    least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*CARRIED)).alias("_row")).select("doc_id", "_row.*")
+    return kept.unionByName(least.select(*COLUMNS)).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -45,6 +46,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def carried(docs: DataFrame, own: tuple[str, ...], carry: tuple[str, ...], schema: str) -> tuple[list[str], StructType]:
+    """Names and schema of an operator's own columns and, after them, of those of docs it carries along."""
+    if clash := set(own) & set(carry):
+        raise ValueError(f"columns that can't be carried: {sorted(clash)}")
+    return [*own, *carry], StructType([*StructType.fromDDL(schema).fields, *(docs.schema[c] for c in carry)])
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, max_bytes: int) -> DataFrame:
     """At most so many labelled documents (id, text, label), each text whole and of at most max_bytes.
 

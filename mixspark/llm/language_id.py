@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import held_out, table, training_sample
+from mixspark.llm.common import carried, held_out, table, training_sample
 from mixspark.llm.text import _powers, mix, pieces, texts_of
 
 #: Longest n-gram that stands in for an unseen word.
@@ -158,18 +158,18 @@ def fit(docs: DataFrame, learnable, id_col: str = "doc_id", text_col: str = "tex
     return Model(kept.toPandas(), max_words, max_grams)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lang_pred, score of every row."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, lang_pred, score of every row, and the columns to carry along (their names must be others)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    names, schema = carried(docs, (id_col, "lang_pred", "score"), carry, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, text_col):
                 lang, score = shared.value.predict(texts_of(part.column(text_col)))
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(lang, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(lang, pa.string()), pa.array(score), *(part.column(c) for c in carry)], names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([id_col, text_col, *carry])).mapInArrow(run, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

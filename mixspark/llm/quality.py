@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import held_out, table, training_sample
+from mixspark.llm.common import carried, held_out, table, training_sample
 from mixspark.llm.text import PIECE, buffers, chain, pieces, split
 
 #: Byte classes whose shares of a text are features.
@@ -203,17 +203,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(x, (got.y.to_numpy() > 0).astype(float))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, score of every row."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, score of every row, and the columns to carry along (their names must be others)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    names, schema = carried(docs, (id_col, "score"), carry, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, text_col, PIECE):
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(shared.value.score(features(part.column(text_col))))], [id_col, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(shared.value.score(features(part.column(text_col)))), *(part.column(c) for c in carry)], names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double")
+    return docs.select(*dict.fromkeys([id_col, text_col, *carry])).mapInArrow(run, schema)
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

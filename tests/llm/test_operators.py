@@ -308,3 +308,21 @@ def test_pipeline(spark):
     assert {r.doc_id for r in kept.collect()} == want
     got = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == want
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    import corpus_pipeline as c
+
+    def ids(df):
+        assert df.columns == c.COLUMNS
+        return sorted((r.doc_id for r in df.collect()), key=str)
+
+    some = [*range(14)]
+    assert ids(c.distinct(spark, odd, DATA)) == sorted([None, *(set(some) - {6, 8, 9})], key=str)
+    kept = ids(c.language(spark, odd, DATA))
+    assert not {0, 1, 2, 13} & set(kept) and kept.count(7) in (0, 2)
+    assert ids(c.good(spark, odd, DATA)) == sorted([*some, 7, None], key=str)  # all labels among them are 1
+    for _, stage in c.STAGES[:-1]:
+        assert ids(stage(spark, none, DATA)) == []
+    with pytest.raises(ValueError):
+        language_id.identify(odd, language_id.fit(none, F.lit(True)), carry=("score",))
