@@ -39,7 +39,7 @@ AFTER_SENTENCE, WITHIN = 2, 64
 #: Bytes of stored table that make up a shard.
 SHARD = 3 << 20
 #: Words that a worker remembers the ids of, at most; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Shortest window whose length counts as a power of two.
 LEAST_POWER = 64
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -71,6 +71,7 @@ class Encoder:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in set(plain)]
         self.character = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+        self.integers = list(range(self.tokenizer.get_vocab_size()))
         self.forget()
 
     def forget(self) -> None:
@@ -81,7 +82,8 @@ class Encoder:
 
     def _part(self, part: str) -> tuple[int, ...]:
         text = part if part.isascii() and part.isprintable() else "".join([self.character[b] for b in part.encode()])
-        ids = self.parts[part] = tuple([t.id for t in self.tokenizer.model.tokenize(text)])
+        # One object for each id, however often it is remembered.
+        ids = self.parts[part] = tuple([self.integers[t.id] for t in self.tokenizer.model.tokenize(text)])
         return ids
 
     def _learn(self, words: list[str], n: int) -> None:
