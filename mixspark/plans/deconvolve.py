@@ -133,6 +133,6 @@ def multiscale(counts: DataFrame, signatures: DataFrame, spots: DataFrame, types
         bins = binning.aggregate_bins(spots, width).withColumn("bin", F.col("gx") * 1_000_000 + F.col("gy"))
         of = bins.groupBy("bin").agg(F.array(F.avg(F.get("coords", F.lit(0))), F.avg(F.get("coords", F.lit(1)))).alias("coords")).select(F.col("bin").alias("spot_id"), "coords")
         summed = counts.join(bins.select("spot_id", "bin"), "spot_id").groupBy(F.col("bin").alias("spot_id"), "gene_id").agg(F.sum("value").alias("value"))
-        got = Deconvolution(**params).fit(summed, signatures, of, types).get_cell_type_proportions().select(F.lit(int(width)).alias("bin_size"), "spot_id", "cell_type", "proportion")
+        got = Deconvolution(**params).fit(summed, signatures, of, types).get_cell_type_proportions().select(F.lit(float(width)).alias("bin_size"), "spot_id", "cell_type", "proportion")
         out = got if out is None else out.unionByName(got)
     return out

@@ -17,6 +17,7 @@ from mixspark.plans.deconvolve import multiscale
 from mixspark.sources import tables
 
 SIDE = 0.12  # radius among the points of embeddings
+WIDTHS = [0.05, 0.1, 0.2, 0.4]  # of bins among the points of embeddings, which span about 1
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -455,7 +456,7 @@ def solver_sweep(s, d):
 
 @_add("multiscale")
 def multiscale_bins(s, d):
-    return multiscale(_ref(s, d).withColumnRenamed("cell_id", "spot_id"), _sig(s, d), _points(s, d), [f"type_{i}" for i in range(10)], [1.0], n_hvg=0, n_markers_per_type=20, sketch_dim=64, max_iter=3).withColumn("proportion", _r("proportion", 4))
+    return multiscale(_ref(s, d).withColumnRenamed("cell_id", "spot_id"), _sig(s, d), _points(s, d), [f"type_{i}" for i in range(10)], WIDTHS, n_hvg=0, n_markers_per_type=20, sketch_dim=64).withColumn("proportion", _r("proportion", 4))
 
 
 @_add("language_mixture")

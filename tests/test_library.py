@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixspark.operators import features, graph, metrics, sketch, solver
+from mixspark.operators import binning, features, graph, metrics, sketch, solver
 from mixspark.plans import queries
-from mixspark.plans.deconvolve import Deconvolution
+from mixspark.plans.deconvolve import Deconvolution, multiscale
 from mixspark.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -141,3 +141,28 @@ def test_sink(spark, tmp_path):
     long = tables.long_proportions(beta)
     tables.write_results(long, str(tmp_path / "out"), ["CellType_0", "CellType_1"])
     assert spark.read.parquet(str(tmp_path / "out")).first().dominant == "CellType_1"
+
+
+def test_multiscale_compares_widths(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(queries, "multiscale", lambda counts, sig, spots, types, widths, **params: seen.update(widths=widths, **params) or spark.range(1).select(F.lit(1.0).alias("proportion")))
+    queries.Q["multiscale"](spark, DATA)
+    points = queries._points(spark, DATA)
+    bins = [binning.aggregate_bins(points, w).select("bin_id").distinct().count() for w in seen["widths"]]
+    assert len(bins) >= 4 and bins == sorted(bins, reverse=True) and len(set(bins)) == len(bins) and bins[-1] > 1
+    assert "max_iter" not in seen and "tol" not in seen
+
+
+def test_multiscale_fits_the_sums_of_bins(spark):
+    counts, sig, spots, _ = _problem(spark, n=24)
+    params = {"n_hvg": 0, "n_markers_per_type": 10, "sketch_dim": 64, "spatial_method": "grid", "max_iter": 3}
+    got = multiscale(counts, sig, spots, list("abcd"), [1.5, 4.0], **params).toPandas()
+    # Columns 0 to 7 and rows 0 to 2: 1.5 makes five bins by two, 4.0 two by one.
+    assert {w: g.spot_id.nunique() for w, g in got.groupby("bin_size")} == {1.5: 10, 4.0: 2}
+    assert np.allclose(got.groupby(["bin_size", "spot_id"]).proportion.sum(), 1)
+    half = F.floor(F.col("spot_id") % 8 / 4) * 1_000_000
+    summed = counts.groupBy(half.alias("spot_id"), "gene_id").agg(F.sum("value").alias("value"))
+    at = spark.createDataFrame([(0, [1.5, 1.0]), (1_000_000, [5.5, 1.0])], "spot_id bigint, coords array<double>")
+    want = Deconvolution(**params).fit(summed, sig, at, list("abcd")).get_cell_type_proportions().toPandas()
+    key = ["spot_id", "cell_type"]
+    assert np.allclose(got[got.bin_size == 4.0].sort_values(key).proportion, want.sort_values(key).proportion)
