@@ -440,18 +440,19 @@ def coherence(s, d):
 
 
 def _fit(s, d):
-    return fit_deconvolution(_ref(s, d).withColumnRenamed("cell_id", "spot_id"), _ref(s, d), _cells(s, d), _points(s, d), n_hvg=0, n_markers_per_type=20, sketch_dim=64, max_iter=4)
+    return fit_deconvolution(_ref(s, d).withColumnRenamed("cell_id", "spot_id"), _ref(s, d), _cells(s, d), _points(s, d), n_hvg=0, n_markers_per_type=20, sketch_dim=64)
 
 
 @_add("deconvolve")
 def deconvolve(s, d):
-    return _fit(s, d).get_cell_type_proportions().withColumn("proportion", _r("proportion", 4))
+    got = _fit(s, d)
+    return got.get_cell_type_proportions().withColumn("proportion", _r("proportion", 4)).withColumn("converged", F.lit(got.info_.converged))
 
 
 @_add("solver_sweep")
 def solver_sweep(s, d):
     got = _fit(s, d)
-    return got.get_abundances().select("spot_id", F.transform("b", lambda x: F.round(x, 4)).alias("b"))
+    return got.get_abundances().select("spot_id", F.transform("b", lambda x: F.round(x, 4)).alias("b"), F.lit(got.info_.converged).alias("converged"), F.lit(got.info_.n_iterations).alias("n_iterations"))
 
 
 @_add("multiscale")

@@ -166,3 +166,21 @@ def test_multiscale_fits_the_sums_of_bins(spark):
     want = Deconvolution(**params).fit(summed, sig, at, list("abcd")).get_cell_type_proportions().toPandas()
     key = ["spot_id", "cell_type"]
     assert np.allclose(got[got.bin_size == 4.0].sort_values(key).proportion, want.sort_values(key).proportion)
+
+
+@pytest.mark.parametrize("name", ["deconvolve", "solver_sweep"])
+def test_registered_fits_run_to_the_default_end(spark, monkeypatch, name):
+    seen = {}
+
+    def fit(*tables, **params):
+        seen.update(params)
+        model = Deconvolution(**params)
+        model.cell_type_names_, model.fitted, model.info_ = ["a", "b"], True, solver.FitInfo(False, 100, 0.0, 0.1)
+        model.beta_ = spark.createDataFrame([(0, [1.0, 3.0])], "spot_id bigint, b array<double>")
+        model.proportions_ = solver.proportions(model.beta_)
+        return model
+
+    monkeypatch.setattr(queries, "fit_deconvolution", fit)
+    rows = queries.Q[name](spark, DATA).collect()
+    assert Deconvolution(**seen).max_iter == 100 and Deconvolution(**seen).tol == 1e-4
+    assert all(r.converged is False for r in rows)
