@@ -74,3 +74,19 @@ def coherence(proportions: DataFrame, edges: DataFrame) -> DataFrame:
     a = proportions.select(F.col("spot_id").alias("i"), "cell_type", F.col("proportion").alias("x"))
     b = proportions.select(F.col("spot_id").alias("j"), "cell_type", F.col("proportion").alias("y"))
     return edges.join(a, "i").join(b, ["j", "cell_type"]).groupBy("cell_type").agg(pearson(F.col("x"), F.col("y")).alias("coherence"))
+
+
+def gene_correlation(counts: DataFrame, proportions: DataFrame, genes: DataFrame) -> DataFrame:
+    """cell_type, gene_id, r of every gene with every type, as marker_correlation has them, from sums over the stored counts only."""
+    y, p = F.col("proportion"), F.col("proportion") - F.col("mean")
+    types = proportions.groupBy("cell_type").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("vy"), (F.max(y) == F.min(y)).alias("flat"))
+    # Tens of types at most.
+    rows = counts.join(genes.select("gene_id"), "gene_id", "left_semi").join(proportions, "spot_id").join(F.broadcast(types.select("cell_type", "mean")), "cell_type")
+    v = F.col("value")
+    sums = rows.groupBy("cell_type", "gene_id").agg(F.count("*").alias("k"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum(v * p).alias("c"), (F.max(v) == F.min(v)).alias("same"), F.max(v == 0).alias("zeros"))
+    n, s = F.col("n"), F.col("s")
+    vx = F.col("q") / n - (s / n) * (s / n)
+    constant = F.col("k").isNull() | F.col("flat") | (F.col("same") & ((F.col("k") == n) | F.col("zeros")))
+    r = F.try_divide(F.col("c") / n, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.col("vy")))
+    every = genes.select("gene_id").join(F.broadcast(types)).join(sums, ["cell_type", "gene_id"], "left")
+    return every.select("cell_type", "gene_id", F.when(constant, 0.0).otherwise(F.coalesce(r, F.lit(0.0))).alias("r"))

@@ -434,6 +434,12 @@ def marker_correlation(s, d):
     return qc.marker_correlation(_counts(s, d), _prop(s, d), markers).withColumn("r", _r("r"))
 
 
+@_add("marker_correlation_all")
+def marker_correlation_all(s, d):
+    """Every gene with every type; marker_correlation has the genes of its SQL only."""
+    return qc.gene_correlation(_counts(s, d), _prop(s, d), _genes(s, d)).withColumn("r", _r("r"))
+
+
 @_add("coherence", f"WITH {_LAT}, {_SH} SELECT a.cell_type, round({_CORR.format(a='a.pred', b='b.pred')}, 6) AS coherence FROM ed JOIN d a ON a.spot_id = i JOIN d b ON b.spot_id = j AND a.cell_type = b.cell_type GROUP BY 1")
 def coherence(s, d):
     return qc.coherence(_prop(s, d), _edges(s, d)).withColumn("coherence", _r("coherence"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixspark.operators import binning, features, graph, metrics, sketch, solver
+from mixspark.operators import binning, features, graph, metrics, qc, sketch, solver
 from mixspark.plans import queries
 from mixspark.plans.deconvolve import Deconvolution, multiscale
 from mixspark.sources import tables
@@ -184,3 +184,25 @@ def test_registered_fits_run_to_the_default_end(spark, monkeypatch, name):
     rows = queries.Q[name](spark, DATA).collect()
     assert Deconvolution(**seen).max_iter == 100 and Deconvolution(**seen).tol == 1e-4
     assert all(r.converged is False for r in rows)
+
+
+def test_marker_correlation_of_every_gene(spark):
+    got = queries.Q["marker_correlation_all"](spark, DATA).toPandas().set_index(["cell_type", "gene_id"]).r
+    counts = queries._counts(spark, DATA).toPandas().pivot(index="spot_id", columns="gene_id", values="value").fillna(0.0)
+    shares = queries._prop(spark, DATA).toPandas()
+    genes = [r[0] for r in queries._genes(spark, DATA).collect()]
+    assert len(genes) > 20 and len(got) == 3 * len(genes)
+    for t, g in shares.groupby("cell_type"):
+        y = g.proportion.to_numpy()
+        for gene in genes:
+            x = counts[gene].reindex(g.spot_id).fillna(0.0).to_numpy() if gene in counts else np.zeros(len(y))
+            want = 0.0 if np.ptp(x) == 0 or np.ptp(y) == 0 else np.corrcoef(x, y)[0, 1]
+            assert abs(got[t, gene] - want) < 2e-6
+
+
+def test_gene_correlation_of_constants(spark):
+    shares = spark.createDataFrame([(i, t, p) for i in range(3) for t, p in (("a", 0.2 * i), ("b", 0.5))], "spot_id bigint, cell_type string, proportion double")
+    counts = spark.createDataFrame([(0, 1, 5.0), (1, 1, 5.0), (2, 1, 5.0), (2, 2, 5.0), (0, 3, 0.0)], "spot_id bigint, gene_id bigint, value double")
+    genes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "gene_id bigint")
+    r = {(x.cell_type, x.gene_id): round(x.r, 6) for x in qc.gene_correlation(counts, shares, genes).collect()}
+    assert r == {("a", 1): 0, ("a", 2): 0.866025, ("a", 3): 0, ("a", 4): 0} | {("b", i): 0 for i in (1, 2, 3, 4)}
