@@ -469,13 +469,11 @@ def multiscale_bins(s, d):
 @_add("language_mixture")
 def language_mixture(s: SparkSession, d: str) -> DataFrame:
     """The mixture of languages of every document, from counts of its tokens; its neighbours are those on a lattice of ids."""
-    docs = _t(s, d, "documents").where("lang IS NOT NULL")
-    words = docs.select("doc_id", "lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("w")).where("w <> ''")
+    docs = _t(s, d, "documents")
+    words = docs.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.col("doc_id").alias("spot_id"), F.abs(F.xxhash64("w")).alias("gene_id")).agg(F.count("*").cast("double").alias("value"))
-    # A vocabulary of frequent words keeps the signatures to the size of one reference.
-    vocabulary = counts.groupBy("gene_id").agg(F.sum("value").alias("n")).orderBy(F.desc("n"), "gene_id").limit(5000).select("gene_id")
-    counts = counts.join(F.broadcast(vocabulary), "gene_id", "left_semi")
-    cells = docs.select(F.col("doc_id").alias("cell_id"), F.col("lang").alias("cell_type"))
+    # Markers come from all words; documents without a language are spots, but no part of the reference.
+    cells = docs.where("lang IS NOT NULL").select(F.col("doc_id").alias("cell_id"), F.col("lang").alias("cell_type"))
     spots = docs.select(F.col("doc_id").alias("spot_id"), F.array((F.col("doc_id") % 1000).cast("double"), F.floor(F.col("doc_id") / 1000).cast("double")).alias("coords"))
     got = fit_deconvolution(counts, counts.withColumnRenamed("spot_id", "cell_id"), cells, spots, n_hvg=0, spatial_method="radius", radius=1.5)
     return got.get_dominant_cell_type().join(docs.select(F.col("doc_id").alias("spot_id"), "lang"), "spot_id").select("spot_id", F.col("cell_type").alias("dominant"), "lang")

@@ -206,3 +206,13 @@ def test_gene_correlation_of_constants(spark):
     genes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "gene_id bigint")
     r = {(x.cell_type, x.gene_id): round(x.r, 6) for x in qc.gene_correlation(counts, shares, genes).collect()}
     assert r == {("a", 1): 0, ("a", 2): 0.866025, ("a", 3): 0, ("a", 4): 0} | {("b", i): 0 for i in (1, 2, 3, 4)}
+
+
+def test_language_mixture_takes_all_words_and_documents(spark, tmp_path):
+    word = lambda p, i: p + "".join(chr(97 + int(x)) for x in str(i))
+    common = " ".join(word("z", i) for i in range(5000))
+    own = {t: " ".join(word(t, i) for i in range(60)) for t in ("x", "y")}
+    docs = [(i, f"{common} {common} {own[t]}", t) for i, t in enumerate("xyxy")] + [(4000, own["y"], None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.spot_id: (r.dominant, r.lang) for r in queries.Q["language_mixture"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("x", "x"), 1: ("y", "y"), 2: ("x", "x"), 3: ("y", "y"), 4000: ("y", None)}
