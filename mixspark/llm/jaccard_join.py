@@ -10,6 +10,9 @@
    and so are pairs of blocks whose sizes or positions leave too small an overlap, before
    pairs of entries are looked at. The remaining pairs are compared whole.
 
+links() returns all links between classes instead, within clusters too; similar() only needs
+the components, which the links within a cluster don't change.
+
 Nothing is capped: any link between different clusters is found, as an n-gram that both
 prefixes share puts the pair in one list.
 
@@ -286,38 +289,24 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, form, test) -> DataFra
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE) -> DataFrame:
-    """id_col, n_shingles, component_id, class_id (least id with the same set) of every row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, range_bytes: int):
+    """texts, their sizes and sums, sets (a row for each class), shared (copies and their class's least id), an index."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     bits = max(0, math.ceil(math.log2(max(1, plan_bytes(docs, text_col) / range_bytes))))
     stats = cut(texts.mapInArrow(_stats(n), _STATS))
     rows = stats.where("token IS NULL")
     top = stats.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).where("c >= 6").orderBy(F.desc("c"), "token").limit(HEAVY).collect()
     heavy = np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
-
-    # 1. Classes of equal sets.
     of_set = ["s1", "s2", "n"]
     sets = rows.where("n > 0 AND id IS NOT NULL").groupBy(*of_set).agg(F.min("id").alias("rep"), F.min("keys").alias("keys"), F.count("*").alias("copies"))
     sets = cut(sets)
     # Rows of one id with several texts have several classes: these count as linked.
     shared = rows.where("n > 0 AND id IS NOT NULL").join(sets.where("copies > 1").select(*of_set, "rep"), of_set).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    shared = cut(shared)
+    return texts, rows, sets, cut(shared), docs.sparkSession.sparkContext.broadcast(Index(heavy, percent, bits))
 
-    # 2. Clusters of similar classes.
-    minima = sets.select("rep", "n", F.posexplode("keys").alias("k", "key"))
-    lead = minima.groupBy("k", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    near = minima.join(lead, ["k", "key"]).where("rep <> lead.rep AND 100 * n >= {p} * lead.n AND 100 * lead.n >= {p} * n".format(p=percent))
-    near = near.groupBy(F.col("rep").alias("a")).agg(F.min("lead.rep").alias("b"))
-    labels = components(verified(near, texts, n, percent))
 
-    # 3. Links between clusters. Copies of a class don't post; the others post under their cluster's label.
-    copies = shared.select(F.col("a").alias("_id"), F.lit(None).cast("long").alias("_label"), F.lit(True).alias("_copy"))
-    known = cut(copies.unionByName(labels.select(F.col("id").alias("_id"), F.col("component").alias("_label"), F.lit(False).alias("_copy"))).groupBy("_id").agg(F.max("_label").alias("_label"), F.max("_copy").alias("_copy")))
-    index = docs.sparkSession.sparkContext.broadcast(Index(heavy, percent, bits))
-    # An id that is a copy and also stands for a class (it has several texts) still posts.
-    stands = sets.select(F.col("rep").alias("_id")).join(shared.select(F.col("a").alias("_id")), "_id", "left_semi")
-    known = known.join(stands.withColumn("_stands", F.lit(True)), "_id", "left").withColumn("_copy", F.col("_copy") & F.col("_stands").isNull()).drop("_stands")
-    posting = texts.where("_id IS NOT NULL").join(small(known, known.count()), "_id", "left").where("NOT coalesce(_copy, false)").select("_id", "_text", F.coalesce("_label", "_id").alias("_label"))
+def _met(posting: DataFrame, index, n: int) -> DataFrame:
+    """Distinct pairs (a, b) of ids of different labels that may be linked; posting: _id, _text, _label."""
 
     def post(batches):
         for batch in batches:
@@ -338,10 +327,46 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     posted = posting.mapInArrow(post, "range int, token binary, ids binary, labels binary, size binary, position binary")
-    pairs = posted.groupBy("range").applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct()
-    links = verified(pairs, texts, n, percent)
+    return posted.groupBy("range").applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct()
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE) -> DataFrame:
+    """a, b, same: every link (a < b) between representatives of classes; where same, b is the class's least id and a another id in it.
+
+    A document is linked with its class and with all members of the classes that its own links
+    to. Every class posts under its own label, so no block is skipped and no link derived: the
+    rows grow with the square of a group of different near copies, as the links do.
+    """
+    texts, _, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes)
+    stands = sets.select(F.col("rep").alias("_id")).distinct()
+    posting = texts.where("_id IS NOT NULL").join(stands, "_id", "left_semi").select("_id", "_text", F.col("_id").alias("_label"))
+    found = verified(_met(posting, index, n), texts, n, percent).select("a", "b", F.lit(False).alias("same"))
+    kind = docs.schema[id_col].dataType
+    return found.unionByName(shared.select("a", "b", F.lit(True).alias("same"))).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "same")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE) -> DataFrame:
+    """id_col, n_shingles, component_id, class_id (least id with the same set) of every row."""
+    # 1. Classes of equal sets.
+    texts, rows, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes)
+
+    # 2. Clusters of similar classes.
+    minima = sets.select("rep", "n", F.posexplode("keys").alias("k", "key"))
+    lead = minima.groupBy("k", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    near = minima.join(lead, ["k", "key"]).where("rep <> lead.rep AND 100 * n >= {p} * lead.n AND 100 * lead.n >= {p} * n".format(p=percent))
+    near = near.groupBy(F.col("rep").alias("a")).agg(F.min("lead.rep").alias("b"))
+    labels = components(verified(near, texts, n, percent))
+
+    # 3. Links between clusters. Copies of a class don't post; the others post under their cluster's label.
+    copies = shared.select(F.col("a").alias("_id"), F.lit(None).cast("long").alias("_label"), F.lit(True).alias("_copy"))
+    known = cut(copies.unionByName(labels.select(F.col("id").alias("_id"), F.col("component").alias("_label"), F.lit(False).alias("_copy"))).groupBy("_id").agg(F.max("_label").alias("_label"), F.max("_copy").alias("_copy")))
+    # An id that is a copy and also stands for a class (it has several texts) still posts.
+    stands = sets.select(F.col("rep").alias("_id")).join(shared.select(F.col("a").alias("_id")), "_id", "left_semi")
+    known = known.join(stands.withColumn("_stands", F.lit(True)), "_id", "left").withColumn("_copy", F.col("_copy") & F.col("_stands").isNull()).drop("_stands")
+    posting = texts.where("_id IS NOT NULL").join(small(known, known.count()), "_id", "left").where("NOT coalesce(_copy, false)").select("_id", "_text", F.coalesce("_label", "_id").alias("_label"))
+    found = verified(_met(posting, index, n), texts, n, percent)
     label = labels.select("id", "component")
-    ends = links
+    ends = found
     for c in ("a", "b"):
         ends = ends.join(label.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
 
@@ -374,6 +399,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of 0.75 or more between different sets of 5-word shingles, and which documents have one and the same set."""
+    return links(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = {
     "op3_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
@@ -393,4 +423,4 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.r AS componen
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id
 """
 }
-QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard}
+QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op3_jaccard_links": op3_jaccard_links}

@@ -326,3 +326,27 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
         assert ids(stage(spark, none, DATA)) == []
     with pytest.raises(ValueError):
         language_id.identify(odd, language_id.fit(none, F.lit(True)), carry=("score",))
+
+
+def test_jaccard_links_within_clusters(spark):
+    # A cluster whose texts differ in a few words each: links between others than its lead count as well.
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(9):
+        own = list(words)
+        own[7 * i + 3] = f"own{i}"
+        if i % 2:
+            own[90] = "odd"
+        texts.append(" ".join(own))
+    texts += [texts[2], " ".join(f"x{i}" for i in range(60)), None, ""]
+    got = jaccard_join.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+
+    def grams(text):
+        w = (text or "").split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets = [grams(t) for t in texts]
+    want = {(a, b) for a in range(9) for b in range(a + 1, 9) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(want) > 8  # more than links with one lead
+    assert sorted((r.a, r.b) for r in got if not r.same) == sorted(want)
+    assert [(r.a, r.b) for r in got if r.same] == [(9, 2)]
