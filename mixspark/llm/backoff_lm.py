@@ -1,19 +1,25 @@
 """Language-model scoring with a weighted backoff automaton of words.
 
-Counts of words and word pairs in all training texts are smoothed into arcs: in the state
-of a word h, a pair (h, w) seen in training has the arc log10((c(h,w) + k p(w)) / (c(h) + k));
-any other word takes the failure arc log10(k / (c(h) + k)) to the root, whose arcs are the
-log10 p(w) = log10((c(w) + 1) / (N + V + 1)). A text is read once from left to right, from
-the start state through an end token; the next state is that of the word just read, or the
-root where training never saw it.
+Counts of all n-grams of 1 to `order` words in the training texts are smoothed into a
+weighted automaton. Its states are the histories of up to order - 1 words that training
+saw; the root is the empty one. In the state h, a word w that training saw behind h has
+an arc of the weight log10 p(w | h), where p(w | h) = (c(h w) + k p(w | h')) / (c(h) + k)
+and h' is h without its first word; the arc leads to the longest history that ends in
+w. For other words the state has a failure arc to h', of the weight log10(k / (c(h) + k)).
+The root has an arc for every word, p(w) = (c(w) + 1) / (N + V + 1). A text is read once from
+left to right, from the state of a text's start through an end token, and carries its
+state along: where a word has no arc, failure arcs are followed until there is one.
 
 The automaton grows with the corpus and is never gathered in one place. Documents are dealt
-by a hash of their id into blocks of some megabytes. A block sends its distinct words and
-pairs, as sorted hashes cut into ranges, with their training counts; each range is summed
-over all blocks, and every block gets the totals of what it asked for: the part of the
-automaton that its texts can reach.
+to blocks of some megabytes by their places, not their ids, so that rows of one id or
+none are spread. A block sends its distinct n-grams, as sorted hashes cut into ranges, with
+their training counts; each range is summed over all blocks, and every block gets the totals
+of what it asked for: the part of the automaton that its texts can reach. Beyond 4,096 ranges
+bundles of blocks stand between: they sum what their blocks have in a coarse range, and
+ask for it in fine ranges; so neither a frequent word's list nor the number of messages grows
+with the square of the corpus.
 
-Words are told apart by 64-bit hashes, pairs by hashes of 48 bits and those of their range.
+Words are told apart by 64-bit hashes, longer n-grams by 48 bits and those of their range.
 
 Defined results: a null text is an empty one: only the end token. Repeated rows count and
 are scored as often as they occur. Without training texts every p is 1 and every score 0.
@@ -29,15 +35,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import held_out, plan_bytes, table
+from mixspark.llm.common import held_out, table, text_bytes
 from mixspark.llm.text import chain, pieces, split
 
 #: Hashes that stand for the end token, and for what stands before a text's first word.
 _END, _START = np.uint64(0x5EED0F7E57E4D001), np.uint64(0x5EED0F7E57E4D002)
-#: k: how many observations the words' own probabilities are worth in a state.
+ORDER = 3
+#: k: how many observations the shorter history's probabilities are worth in a state.
 PRIOR = 4.0
-#: Bytes of stored table for a block and for a range.
-BLOCK, RANGE = 4 << 20, 8 << 20
+#: Bytes of text for a block and for a range.
+BLOCK, RANGE = 6 << 20, 12 << 20
+#: Ranges that a block sends to at most, as a power of two; beyond it bundles of some megabytes ask in finer ones.
+COARSE = 12
+BUNDLE = 16 << 20
+#: Tokens that a lane reads; all lanes of a block are read at once.
+LANE = 256
 
 
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -48,46 +60,40 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Tokens of a block's texts, their distinct words and pairs, and training counts of these."""
+    """Tokens of a block's texts and their distinct n-grams of each order.
 
-    def __init__(self, rows: pa.Table):
+    grams[m - 1]: sorted hashes of the distinct m-grams; at[m - 1]: for each token the number
+    of the m-gram that it ends, -1 where its text hasn't begun so far before.
+    """
+
+    def __init__(self, rows: pa.Table, order: int):
         tokens, row, train, base = [], [], [], 0
         for part in pieces(rows, "_text"):
             t, r = _tokens(part.column("_text"))
-            learn = part.column("_train").to_numpy(zero_copy_only=False) if isinstance(part.column("_train"), pa.Array) else part.column("_train").to_numpy()
             tokens.append(t)
             row.append(r + base)
-            train.append(learn.astype(bool)[r])
+            train.append(np.array(part.column("_train"), bool)[r])
             base += len(part)
-        self.tokens, self.row, self.train = np.concatenate(tokens), np.concatenate(row), np.concatenate(train)
-        self.rows = base
-        self.first = np.ones(len(self.row), bool)
-        self.first[1:] = self.row[1:] != self.row[:-1]
-        before = np.roll(self.tokens, 1)
-        before[self.first] = _START
-        self.words, self.word = np.unique(self.tokens, return_inverse=True)
-        self.pairs, self.pair = np.unique(chain(before, self.tokens), return_inverse=True)
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.bincount(x[self.train], minlength=len(y)) for x, y in ((self.word, self.words), (self.pair, self.pairs)))
-
-
-def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each range of the sorted keys begins, and the end."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
-def _pack6(keys: np.ndarray, bits: int) -> bytes:
-    """48 bits of each key below those of its range."""
-    low = (keys << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(low[:, :6]).tobytes()
-
-
-def _unpack6(raw: bytes) -> np.ndarray:
-    low = np.zeros((len(raw) // 6, 8), np.uint8)
-    low[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return low.view(">u8").ravel().astype(np.uint64)
+        self.rows, self.row, self.train = base, np.concatenate(row), np.concatenate(train)
+        hashes = np.concatenate(tokens)
+        first = np.flatnonzero(np.append(True, self.row[1:] != self.row[:-1]))
+        self.offset = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
+        self.grams, self.at, longer = [], [], hashes
+        for m in range(1, order + 1):
+            if m > 1:
+                before = np.roll(longer, 1)
+                before[first] = _START
+                longer = chain(before, hashes)
+            has = np.flatnonzero(self.offset >= m - 2)
+            distinct, back = np.unique(longer[has], return_inverse=True)
+            at = np.full(len(hashes), -1)
+            at[has] = back
+            self.grams.append(distinct)
+            self.at.append(at)
+
+    def counts(self) -> list[np.ndarray]:
+        """How often the training texts of the block have each n-gram."""
+        return [np.bincount(at[self.train & (at >= 0)], minlength=len(g)) for at, g in zip(self.at, self.grams, strict=True)]
 
 
 def _pack_counts(c: np.ndarray) -> bytes:
@@ -101,113 +107,252 @@ def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return c
 
 
-_ASK = "range int, block int, words binary, word_counts binary, pairs binary, pair_counts binary"
+def _pack_steps(parts: list[np.ndarray]) -> bytes:
+    """Sorted numbers as their differences, of four bytes each; those that need more follow."""
+    steps = np.concatenate([np.diff(x, prepend=np.uint64(0)) for x in parts]) if parts else np.zeros(0, np.uint64)
+    most = np.uint64(0xFFFFFFFF)
+    return np.minimum(steps, most).astype("<u4").tobytes() + steps[steps >= most].astype("<u8").tobytes()
+
+
+def _unpack_steps(raw: bytes, sizes: list[int]) -> list[np.ndarray]:
+    n = sum(sizes)
+    steps = np.frombuffer(raw, "<u4", n).astype(np.uint64)
+    steps[steps == 0xFFFFFFFF] = np.frombuffer(raw, "<u8", offset=4 * n)
+    total, ends = np.cumsum(steps), np.cumsum(sizes)
+    # What stood before a part is taken off; the sums may wrap, their differences don't.
+    return [total[e - k : e] - (total[e - k - 1] if e > k else np.uint64(0)) for k, e in zip(sizes, ends.tolist(), strict=True)]
+
+
+_CELL = "sizes array<int>, words binary, longer binary, counts binary"
+_CELL_KINDS = {"sizes": pa.list_(pa.int32()), "words": pa.binary(), "longer": pa.binary(), "counts": pa.binary()}
+
+
+def _cell(keys: list[np.ndarray], counts: list[np.ndarray]) -> dict:
+    """Keys and counts of each order, to be sent: words as they are, the others as 48-bit numbers."""
+    return {"sizes": [len(k) for k in keys], "words": keys[0].tobytes(), "longer": _pack_steps(keys[1:]), "counts": _pack_counts(np.concatenate(counts))}
+
+
+def _opened(r: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    sizes = r["sizes"]
+    keys = [np.frombuffer(r["words"], np.uint64), *_unpack_steps(r["longer"], sizes[1:])]
+    return keys, _split(_unpack_counts(r["counts"], sum(sizes)), sizes)
+
 
+def _split(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(x, np.cumsum(sizes)[:-1])
 
-def _ask(block: int, b: Block, bits: int) -> pa.Table:
+
+def _table(rows: list[dict], kinds: dict) -> pa.Table:
+    return pa.table({n: pa.array([r[n] for r in rows], k) for n, k in kinds.items()})
+
+
+def _edges(keys: np.ndarray, bits: int, of: int) -> np.ndarray:
+    """Where each range of the sorted numbers of `of` bits begins by their first bits, and the end."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(of - bits) if bits else np.zeros(0, np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def _low(keys: np.ndarray, bits: int) -> np.ndarray:
+    """48 bits of each key below those of its range."""
+    return (keys << np.uint64(bits)) >> np.uint64(16)
+
+
+def _ask(b: Block, block: int, bits: int, bundles: int) -> list[dict]:
     """A row for each range: what the block has and asks for in it."""
-    words, pairs = _ranges(b.words, bits), _ranges(b.pairs, bits)
-    word_counts, pair_counts = b.counts()
-    columns: list[list] = [[], [], [], [], [], []]
+    edges, counts = [_edges(g, bits, 64) for g in b.grams], b.counts()
+    out = []
     for k in range(1 << bits):
-        w, p = slice(words[k], words[k + 1]), slice(pairs[k], pairs[k + 1])
-        if w.start < w.stop or p.start < p.stop:
-            for c, x in zip(columns, (k, block, b.words[w].tobytes(), _pack_counts(word_counts[w]), _pack6(b.pairs[p], bits), _pack_counts(pair_counts[p])), strict=True):
-                c.append(x)
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(_ASK.split(", "), columns, kinds, strict=True)})
+        own = [slice(e[k], e[k + 1]) for e in edges]
+        keys = [g[s] if m == 0 else _low(g[s], bits) for m, (g, s) in enumerate(zip(b.grams, own, strict=True))]
+        out.append({"range": k, "bundle": block % bundles, "block": block} | _cell(keys, [c[s] for c, s in zip(counts, own, strict=True)]))
+    return out
+
+
+_ASK_KINDS = {"range": pa.int32(), "bundle": pa.int32(), "block": pa.int64()} | _CELL_KINDS
+_ASK = f"range int, bundle int, block bigint, {_CELL}"
+
 
+def _summed(opened: list, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys of all opened cells, and their total counts."""
+    keys, totals = [], []
+    for m in range(order):
+        distinct, back = np.unique(np.concatenate([k[m] for k, _ in opened]), return_inverse=True)
+        keys.append(distinct)
+        totals.append(np.bincount(back, np.concatenate([c[m] for _, c in opened]), len(distinct)).astype(np.int64))
+    return keys, totals
 
-def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys' total counts, for each of the given keys; and those of the distinct keys."""
-    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64)
-    return total[back], total
 
+_ANSWER_KINDS = {"range": pa.int32(), "bundle": pa.int32(), "block": pa.int64(), "fine": pa.int32(), "totals": pa.binary(), "n": pa.int64(), "v": pa.int64()}
+_ANSWER = "range int, bundle int, block bigint, fine int, totals binary, n bigint, v bigint"
 
-def _answer(key, rows):
-    """The totals of everything that the blocks asked for in one range."""
-    raw = {n: rows.column(n).to_pylist() for n in rows.column_names}
-    words = [np.frombuffer(x, np.uint64) for x in raw["words"]]
-    pairs = [_unpack6(x) for x in raw["pairs"]]
-    word_total, _ = _sum(words, [_unpack_counts(c, len(w)) for c, w in zip(raw["word_counts"], words, strict=True)])
-    pair_total, _ = _sum(pairs, [_unpack_counts(c, len(p)) for c, p in zip(raw["pair_counts"], pairs, strict=True)])
-    w, p = np.cumsum([0, *map(len, words)]), np.cumsum([0, *map(len, pairs)])
-    n = range(len(words))
-    return pa.table({"block": pa.array(raw["block"], pa.int32()), "range": pa.array(raw["range"], pa.int32()), "words": pa.array([_pack_counts(word_total[w[k] : w[k + 1]]) for k in n], pa.binary()), "pairs": pa.array([_pack_counts(pair_total[p[k] : p[k + 1]]) for k in n], pa.binary())})
+
+def _answers(rows: list[dict], order: int, opened: list, keys: list, totals: list, n: int, v: int) -> pa.Table:
+    """To each row the totals of what it asked for; n: training tokens of the range, v: how many distinct ones."""
+    out = []
+    for r, (own, _) in zip(rows, opened, strict=True):
+        found = [totals[m][np.searchsorted(keys[m], own[m])] for m in range(order)]
+        out.append({"range": r["range"], "bundle": r["bundle"], "block": r["block"], "fine": r.get("fine", 0), "totals": _pack_counts(np.concatenate(found)), "n": n, "v": v})
+    return _table(out, _ANSWER_KINDS)
 
 
 class Automaton:
-    """The arcs that a block's texts can reach, by the numbers of its distinct words and pairs."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, end: int, tokens: int, kinds: int, prior: float):
-        self.words, self.pairs, self.start = words, pairs, words[end]
-        self.root = (words + 1.0) / (tokens + kinds + 1.0)
-        self.log_root = np.log10(self.root)
-        self.prior = prior
-
-    def read(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 probability of each text, and the sum of its root arcs alone."""
-        state = np.roll(self.words[b.word], 1)  # how often training saw the word whose state it is
-        state[b.first] = self.start
-        seen = self.pairs[b.pair]
-        arc = np.where(
-            state == 0,
-            self.log_root[b.word],
-            np.where(seen > 0, np.log10((seen + self.prior * self.root[b.word]) / (state + self.prior)), np.log10(self.prior / (state + self.prior)) + self.log_root[b.word]),
-        )
-        return np.bincount(b.row, arc, b.rows), np.bincount(b.row, self.log_root[b.word], b.rows)
-
-
-def totals(rows: DataFrame, bits: int) -> tuple[int, int]:
-    """Number of training tokens and of distinct ones."""
-
-    def count(batches):
-        for batch in batches:
-            learn = batch.filter(batch.column("_train"))
-            found = [_tokens(part.column("_text"))[0] for part in pieces(learn, "_text")]
-            if found:
-                keys, c = np.unique(np.concatenate(found), return_counts=True)
-                edges = _ranges(keys, bits)
-                use = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([keys[edges[k] : edges[k + 1]].tobytes() for k in use], pa.binary()), pa.array([int(c[edges[k] : edges[k + 1]].sum()) for k in use], pa.int64())], ["range", "words", "n"])
-
-    def distinct(key, t):
-        keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]))
-        return pa.table({"n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "v": pa.array([len(keys)], pa.int64())})
-
-    parts = rows.select("_text", "_train").mapInArrow(count, "range int, words binary, n bigint").groupBy("range").applyInArrow(distinct, "n bigint, v bigint")
-    n, v = parts.agg(F.sum("n"), F.sum("v")).first()
-    return n or 0, v or 0
-
-
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, block_bytes: int = BLOCK, range_bytes: int = RANGE) -> DataFrame:
+    """States, arcs and failure arcs that a block's texts can reach.
+
+    totals: training counts of the block's n-grams of each order. State 0 is the root; arcs are
+    sorted by state and word.
+    """
+
+    def __init__(self, b: Block, totals: list[np.ndarray], tokens: int, kinds: int, prior: float):
+        order, self.words = len(totals), len(totals[0])
+        end = int(np.searchsorted(b.grams[0], _END))
+        self.root = np.log10((totals[0] + 1.0) / (tokens + kinds + 1.0))
+        # Number of the state of each n-gram that is a history, and the root's for the others.
+        state, states = [], 1
+        for c in totals[: order - 1]:
+            seen = c > 0
+            state.append(np.where(seen, states + np.cumsum(seen) - 1, 0))
+            states += int(seen.sum())
+        texts = totals[0][end] if order > 1 else 0
+        self.start = states if texts else 0
+        self.fail, self.fail_weight = np.zeros(states + 1, np.int64), np.zeros(states + 1)
+        self.fail_weight[self.start] = np.log10(prior / (texts + prior)) if texts else 0.0
+        self.to_word = state[0] if order > 1 else np.zeros(self.words, np.int64)
+        keys, weight, to, shorter = [], [], [], (totals[0] + 1.0) / (tokens + kinds + 1.0)
+        for m in range(2, order + 1):
+            # Of each m-gram: a token that ends it, the numbers of what it begins and ends with.
+            where = np.zeros(len(totals[m - 1]), np.int64)
+            has = np.flatnonzero(b.at[m - 1] >= 0)
+            where[b.at[m - 1][has]] = has
+            opening = b.offset[where] == 0  # what stands before is a text's start
+            suffix, prefix, c = b.at[m - 2][where], b.at[m - 2][where - 1], totals[m - 1]
+            history = np.where(opening, texts, totals[m - 2][prefix])
+            p = np.where(history > 0, (c + prior * shorter[suffix]) / (history + prior), shorter[suffix])
+            of = np.where(opening, self.start, state[m - 2][prefix])
+            seen = c > 0
+            keys.append((of * self.words + b.at[0][where])[seen])
+            weight.append(np.log10(p[seen]))
+            to.append((state[m - 1] if m < order else state[m - 2][suffix])[seen])
+            if m < order:
+                self.fail[state[m - 1][seen]] = state[m - 2][suffix[seen]]
+                self.fail_weight[state[m - 1][seen]] = np.log10(prior / (c[seen] + prior))
+            shorter = p
+        if order > 1:
+            seen = totals[0] > 0
+            self.fail_weight[state[0][seen]] = np.log10(prior / (totals[0][seen] + prior))
+        keys, weight, to = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, weight, to))
+        by = np.argsort(keys)
+        self.keys, self.weight, self.to = np.append(keys[by], np.iinfo(np.int64).max), weight[by], to[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads a word in each of many states: the states after it, and the log10 probabilities."""
+        total, after, left = np.zeros(len(state)), np.empty(len(state), np.int64), np.arange(len(state))
+        while len(left):
+            now, w = state[left], word[left]
+            arc = np.searchsorted(self.keys, now * self.words + w)
+            hit = (self.keys[arc] == now * self.words + w) & (now > 0)
+            found = left[hit]
+            total[found] += self.weight[arc[hit]]
+            after[found] = self.to[arc[hit]]
+            ended = ~hit & (now == 0)
+            found = left[ended]
+            total[found] += self.root[w[ended]]
+            after[found] = self.to_word[w[ended]]
+            on = ~hit & (now > 0)
+            left = left[on]
+            total[left] += self.fail_weight[now[on]]
+            state = state.copy()
+            state[left] = self.fail[now[on]]
+        return after, total
+
+    def read(self, b: Block, order: int) -> np.ndarray:
+        """Log10 probability of each token.
+
+        The texts stand one after the other and are read in lanes of one length. A lane begins
+        order - 1 tokens early, at the root: then its state is the one that was carried to there.
+        """
+        word, first, n = b.at[0], b.offset == 0, len(b.row)
+        begin = np.arange(0, n, LANE)
+        state, out = np.zeros(len(begin), np.int64), np.zeros(n)
+        for k in range(1 - order, LANE):
+            at = begin + k
+            use = np.flatnonzero((at >= 0) & (at < n))
+            at = at[use]
+            before = np.where(first[at], self.start, state[use])
+            state[use], p = self.step(before, word[at])
+            if k >= 0:
+                out[at] = p
+        return out
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK, range_bytes: int = RANGE, coarse: int = COARSE, bundle_bytes: int = BUNDLE) -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score of every row; learned from the rows where learn holds."""
-    size = plan_bytes(docs, text_col)
+    if order < 1:
+        raise ValueError("the order must be at least 1")
+    size = text_bytes(docs, text_col)
     blocks, bits = max(1, math.ceil(size / block_bytes)), max(0, math.ceil(math.log2(max(1, size / range_bytes))))
+    first = min(bits, coarse)
+    second = min(bits - first, 16)
+    bundles = max(1, math.ceil(size / bundle_bytes / (1 << first))) if second else 1
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("_block"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_train"))
-    n, v = totals(rows, bits)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_train"))
+    # In order, a row's place in its partition is the same whenever it is computed.
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    rows = rows.sortWithinPartitions("_id", "_text", "_train").select(place.alias("_block"), "_id", "_text", "_train")
 
     def ask(key, t):
-        return _ask(key[0].as_py(), Block(t), bits)
+        return _table(_ask(Block(t, order), key[0].as_py(), first, bundles), _ASK_KINDS)
+
+    def answer(key, t):
+        got = t.to_pylist()
+        opened = [_opened(r) for r in got]
+        keys, totals = _summed(opened, order)
+        return _answers(got, order, opened, keys, totals, int(totals[0].sum()), int((totals[0] > 0).sum()))
+
+    def refine(key, t):
+        # A bundle asks for what its blocks have, once, in the fine ranges of its coarse one.
+        keys, totals = _summed([_opened(r) for r in t.to_pylist()], order)
+        edges = [_edges(k << np.uint64(first) if m == 0 else k, second, 64 if m == 0 else 48) for m, k in enumerate(keys)]
+        out = []
+        for f in range(1 << second):
+            own = [slice(e[f], e[f + 1]) for e in edges]
+            out.append({"range": key[0].as_py(), "bundle": key[1].as_py(), "block": -1, "fine": f} | _cell([k[s] for k, s in zip(keys, own, strict=True)], [c[s] for c, s in zip(totals, own, strict=True)]))
+        return _table(out, _ASK_KINDS | {"fine": pa.int32()})
+
+    def forward(key, t, answers):
+        got = t.to_pylist()
+        opened = [_opened(r) for r in got]
+        keys, _ = _summed(opened, order)
+        fine = sorted(answers.to_pylist(), key=lambda r: r["fine"])
+        edges = [_edges(k << np.uint64(first) if m == 0 else k, second, 64 if m == 0 else 48) for m, k in enumerate(keys)]
+        totals = [[] for _ in range(order)]
+        for f, r in enumerate(fine):
+            sizes = [int(e[f + 1] - e[f]) for e in edges]
+            for m, x in enumerate(_split(_unpack_counts(r["totals"], sum(sizes)), sizes)):
+                totals[m].append(x)
+        return _answers(got, order, opened, keys, [np.concatenate(x) for x in totals], sum(r["n"] for r in fine), sum(r["v"] for r in fine))
 
     def read(key, t, answers):
-        b = Block(t)
-        by = {r["range"]: r for r in answers.to_pylist()}
-        words, pairs = _ranges(b.words, bits), _ranges(b.pairs, bits)
-
-        def joined(name: str, edges: np.ndarray) -> np.ndarray:
-            return np.concatenate([_unpack_counts(by[k][name], edges[k + 1] - edges[k]) for k in range(1 << bits) if edges[k] < edges[k + 1]])
-
-        counts = joined("words", words)
-        automaton = Automaton(counts, joined("pairs", pairs), int(np.searchsorted(b.words, _END)), n, v, prior)
-        total, base = automaton.read(b)
-        tokens, known = np.bincount(b.row, minlength=b.rows), np.bincount(b.row, counts[b.word] > 0, b.rows).astype(np.int64)
-        return pa.table({id_col: t.column("_id"), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(b.rows, n)), "base_score": pa.array(base), "score": pa.array(total)})
+        b = Block(t, order)
+        got = sorted(answers.to_pylist(), key=lambda r: r["range"])
+        edges = [_edges(g, first, 64) for g in b.grams]
+        totals = [[] for _ in range(order)]
+        for k, r in enumerate(got):
+            sizes = [int(e[k + 1] - e[k]) for e in edges]
+            for m, x in enumerate(_split(_unpack_counts(r["totals"], sum(sizes)), sizes)):
+                totals[m].append(x)
+        totals, n, v = [np.concatenate(x) for x in totals], sum(r["n"] for r in got), sum(r["v"] for r in got)
+        automaton = Automaton(b, totals, n, v, prior)
+        total = np.bincount(b.row, automaton.read(b, order), b.rows)
+        base = np.bincount(b.row, automaton.root[b.at[0]], b.rows)
+        length, known = np.bincount(b.row, minlength=b.rows), np.bincount(b.row, totals[0][b.at[0]] > 0, b.rows).astype(np.int64)
+        return pa.table({id_col: t.column("_id"), "n_tokens": pa.array(length), "n_known": pa.array(known), "train_tokens": pa.array(np.full(b.rows, n)), "base_score": pa.array(base), "score": pa.array(total)})
 
     asked = rows.groupBy("_block").applyInArrow(ask, _ASK)
-    answers = asked.groupBy("range").applyInArrow(_answer, "block int, range int, words binary, pairs binary")
+    if second:
+        fine = asked.groupBy("range", "bundle").applyInArrow(refine, f"{_ASK}, fine int").groupBy("range", "fine").applyInArrow(answer, _ANSWER)
+        answers = asked.groupBy("range", "bundle").cogroup(fine.groupBy("range", "bundle")).applyInArrow(forward, _ANSWER)
+    else:
+        answers = asked.groupBy("range").applyInArrow(answer, _ANSWER)
     schema = f"{id_col} {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return rows.groupBy("_block").cogroup(answers.withColumnRenamed("block", "_block").groupBy("_block")).applyInArrow(read, schema)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mixspark.functions.lineage import cut, shared_folder
+
+__all__ = ["carried", "cut", "held_out", "shared_folder", "small", "table", "text_bytes", "training_sample"]
+
 #: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -23,22 +25,9 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc % modulus == remainder, F.lit(False))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder, so that no lost executor brings its lineage back."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        # Only where the session names no shared folder, as in tests on one machine.
-        shared = context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
-def plan_bytes(df: DataFrame, text: str = "text") -> int:
-    """Bytes of df as the optimiser knows them (files' sizes for a table); where it knows none, the bytes of its text."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 62:
-        size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return size
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts and 16 for each row, counted: what the optimiser guesses is wrong after joins and for compressed files."""
+    return df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 16)).first()[0] or 0
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

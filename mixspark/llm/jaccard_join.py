@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import cut, plan_bytes, small, table
+from mixspark.llm.common import cut, small, table, text_bytes
 from mixspark.llm.components import components
 from mixspark.llm.text import mix, pieces, split
 
-#: Bytes of stored table that make up one range of the index.
-RANGE = 8 << 20
+#: Bytes of text that make up one range of the index, and those that are posted together.
+RANGE, POSTED = 16 << 20, 8 << 20
+#: Ranges that are posted to at most, as a power of two; beyond it bundles of postings are cut into finer ones.
+COARSE = 12
 #: N-grams that are put in order by their frequency, the most frequent ones: a bound of what is broadcast.
 HEAVY = 200_000
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -127,9 +129,10 @@ def _overlap_of_prefix(n, percent: int):
 class Index:
     """Posting of prefixes, and the pairs of one range of the index."""
 
-    def __init__(self, heavy: np.ndarray, percent: int, bits: int):
+    def __init__(self, heavy: np.ndarray, percent: int, bits: int, coarse: int):
         # heavy: hashes from the least to the most frequent. An n-gram's place in the order: frequent ones last.
-        self.percent, self.bits = percent, bits
+        self.percent, self.bits = percent, min(bits, coarse)
+        self.fine = min(bits - self.bits, 16)
         self.order = np.argsort(heavy)
         self.heavy = heavy[self.order]
 
@@ -141,25 +144,41 @@ class Index:
             out[hit] = np.uint64(1 << 63) + self.order[k[hit]].astype(np.uint64)
         return out
 
-    def post(self, texts, ids: np.ndarray, labels: np.ndarray, n: int):
-        """Rows (range, planes) of the prefixes of these texts' sets."""
+    def post(self, texts, ids: np.ndarray, labels: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Tokens, ids, labels, sizes and positions of the prefixes of these texts' sets."""
         sets, at = shingle_sets(texts, n)
         sets, at = sorted_sets(self.ordered(sets), at)
         size = np.diff(at)
         prefix = np.where(size > 0, size - _overlap_of_prefix(size, self.percent) + 1, 0)
         doc = np.repeat(np.arange(len(size)), prefix)
         position = np.arange(len(doc)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-        token = mix(sets[at[:-1][doc] + position])
+        return mix(sets[at[:-1][doc] + position]), ids[doc], labels[doc], size[doc], position
+
+    def rows(self, waiting: list[tuple[np.ndarray, ...]], above: int, bits: int) -> list[tuple]:
+        """Rows (range, planes) of postings, cut by `bits` bits of their tokens, below those `above`."""
+        token, ids, labels, size, position = (np.concatenate(x) for x in zip(*waiting, strict=True))
         order = np.argsort(token, kind="stable")
-        token, doc, position = token[order], doc[order], position[order]
-        edges = np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits) if self.bits else np.zeros(0, np.uint64)
-        edges = np.concatenate([[0], np.searchsorted(token, edges), [len(token)]])
-        for k in range(1 << self.bits):
+        token, ids, labels, size, position = (x[order] for x in (token, ids, labels, size, position))
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - above - bits) if bits else np.zeros(0, np.uint64)
+        own = (token << np.uint64(above)) >> np.uint64(above)
+        edges = np.concatenate([[0], np.searchsorted(own, edges), [len(token)]])
+        low = (token << np.uint64(above + bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        out = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
             p = slice(edges[k], edges[k + 1])
-            if p.start < p.stop:
-                d = doc[p]
-                low = (token[p] << np.uint64(self.bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                yield k, low.tobytes(), _planes(ids[d]), _planes(labels[d] - ids[d]), size[d].astype(np.int32).tobytes(), position[p].astype(np.int32).tobytes()
+            out.append((k, low[p].tobytes(), _planes(ids[p]), _planes(labels[p] - ids[p]), size[p].astype(np.int32).tobytes(), position[p].astype(np.int32).tobytes()))
+        return out
+
+    @staticmethod
+    def opened(raw: dict, above: int) -> tuple[np.ndarray, ...]:
+        """Postings of rows of one range; what is left of their tokens stands below the first `above` bits."""
+        token = np.frombuffer(b"".join(raw["token"]), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(token), 8), np.uint8)
+        wide[:, :5] = token
+        ids = np.concatenate([_unplanes(x) for x in raw["ids"]])
+        labels = ids + np.concatenate([_unplanes(x) for x in raw["labels"]])
+        size, position = (np.frombuffer(b"".join(raw[c]), np.int32).astype(np.int64) for c in ("size", "position"))
+        return wide.view(">u8").ravel().astype(np.uint64) >> np.uint64(above), ids, labels, size, position
 
     def pairs(self, token: np.ndarray, ids: np.ndarray, labels: np.ndarray, size: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Distinct pairs of ids of different labels that share a token and may be linked."""
@@ -289,10 +308,10 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, form, test) -> DataFra
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, range_bytes: int):
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, range_bytes: int, coarse: int):
     """texts, their sizes and sums, sets (a row for each class), shared (copies and their class's least id), an index."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    bits = max(0, math.ceil(math.log2(max(1, plan_bytes(docs, text_col) / range_bytes))))
+    bits = max(0, math.ceil(math.log2(max(1, text_bytes(docs, text_col) / range_bytes))))
     stats = cut(texts.mapInArrow(_stats(n), _STATS))
     rows = stats.where("token IS NULL")
     top = stats.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).where("c >= 6").orderBy(F.desc("c"), "token").limit(HEAVY).collect()
@@ -302,42 +321,60 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     sets = cut(sets)
     # Rows of one id with several texts have several classes: these count as linked.
     shared = rows.where("n > 0 AND id IS NOT NULL").join(sets.where("copies > 1").select(*of_set, "rep"), of_set).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    return texts, rows, sets, cut(shared), docs.sparkSession.sparkContext.broadcast(Index(heavy, percent, bits))
+    return texts, rows, sets, cut(shared), docs.sparkSession.sparkContext.broadcast(Index(heavy, percent, bits, coarse))
+
+
+_ROWS = ["range", "token", "ids", "labels", "size", "position"]
+_ROW_KINDS = [pa.int32(), *[pa.binary()] * 5]
 
 
 def _met(posting: DataFrame, index, n: int) -> DataFrame:
     """Distinct pairs (a, b) of ids of different labels that may be linked; posting: _id, _text, _label."""
+    first, second = index.value.bits, index.value.fine
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ROW_KINDS, strict=True)], _ROWS)
 
     def post(batches):
+        waiting, held = [], 0
         for batch in batches:
             for part in pieces(batch, "_text"):
-                out = list(index.value.post(part.column("_text"), part.column("_id").to_numpy(), part.column("_label").to_numpy(), n))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], ["range", "token", "ids", "labels", "size", "position"])
+                waiting.append(index.value.post(part.column("_text"), part.column("_id").to_numpy(), part.column("_label").to_numpy(), n))
+                held += part.column("_text").nbytes
+                if held >= POSTED:
+                    if any(len(x[0]) for x in waiting):
+                        yield batch_of(index.value.rows(waiting, 0, first))
+                    waiting, held = [], 0
+        if any(len(x[0]) for x in waiting):
+            yield batch_of(index.value.rows(waiting, 0, first))
+
+    def refine(key, t):
+        opened = index.value.opened({c: t.column(c).to_pylist() for c in _ROWS[1:]}, first)
+        rows = batch_of(index.value.rows([opened], first, second))
+        return pa.Table.from_batches([rows]).rename_columns(["fine", *_ROWS[1:]]).append_column("range", pa.array([key[0].as_py()] * len(rows), pa.int32()))
 
     def meet(key, t):
-        raw = {c: t.column(c).to_pylist() for c in t.column_names}
-        token = np.frombuffer(b"".join(raw["token"]), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(token), 8), np.uint8)
-        wide[:, 3:] = token
-        ids = np.concatenate([_unplanes(x) for x in raw["ids"]])
-        labels = ids + np.concatenate([_unplanes(x) for x in raw["labels"]])
-        size, position = (np.frombuffer(b"".join(raw[c]), np.int32).astype(np.int64) for c in ("size", "position"))
-        found = index.value.pairs(wide.view(">u8").ravel().astype(np.uint64), ids, labels, size, position)
+        found = index.value.pairs(*index.value.opened({c: t.column(c).to_pylist() for c in _ROWS[1:]}, first + second))
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     posted = posting.mapInArrow(post, "range int, token binary, ids binary, labels binary, size binary, position binary")
-    return posted.groupBy("range").applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct()
+    by = ["range"]
+    if second:
+        # What a bundle has in a coarse range goes on to the fine ranges in fewer, longer rows.
+        bundles = posted.withColumn("bundle", F.pmod(F.xxhash64("token"), F.lit(1 << second)))
+        posted = bundles.groupBy("range", "bundle").applyInArrow(refine, "fine int, token binary, ids binary, labels binary, size binary, position binary, range int")
+        by = ["range", "fine"]
+    return posted.groupBy(*by).applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE) -> DataFrame:
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE, coarse: int = COARSE) -> DataFrame:
     """a, b, same: every link (a < b) between representatives of classes; where same, b is the class's least id and a another id in it.
 
     A document is linked with its class and with all members of the classes that its own links
     to. Every class posts under its own label, so no block is skipped and no link derived: the
     rows grow with the square of a group of different near copies, as the links do.
     """
-    texts, _, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes)
+    texts, _, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes, coarse)
     stands = sets.select(F.col("rep").alias("_id")).distinct()
     posting = texts.where("_id IS NOT NULL").join(stands, "_id", "left_semi").select("_id", "_text", F.col("_id").alias("_label"))
     found = verified(_met(posting, index, n), texts, n, percent).select("a", "b", F.lit(False).alias("same"))
@@ -345,10 +382,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     return found.unionByName(shared.select("a", "b", F.lit(True).alias("same"))).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "same")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE, coarse: int = COARSE) -> DataFrame:
     """id_col, n_shingles, component_id, class_id (least id with the same set) of every row."""
     # 1. Classes of equal sets.
-    texts, rows, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes)
+    texts, rows, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes, coarse)
 
     # 2. Clusters of similar classes.
     minima = sets.select("rep", "n", F.posexplode("keys").alias("k", "key"))

@@ -1,21 +1,23 @@
 """Packing documents into sequences: order-preserving dynamic programming.
 
-Documents are dealt by a hash of their id into shards of some megabytes; within a shard
-they stand in the order of their ids, as one run of token ids with an end id after each.
-The run is cut into windows of at most `size` ids. Cuts are free of charge after a
-document, cost a little after a sentence, and more elsewhere (used only where sentences
-exceed a window); a window costs its padding, none where its length is a power of two.
-The cheapest cuts come from f[j] = penalty[j] + min(f[i] + padding(i, j)), where the
-minimum over a sliding range of i is kept in a monotone queue.
+Every partition of the documents is packed where it is, in the order of ids (and, of
+rows with one id, of texts), so no text is shuffled and nothing depends on how large the
+optimiser takes the table to be. Runs of some megabytes of text become one run of
+token ids with an end id after each document. The run is cut into windows of at most
+`size` ids. Cuts are free of charge after a document, cost a little after a sentence, and
+more elsewhere (used only where sentences exceed a window); a window costs its padding,
+none where its length is a power of two from 64 on. The cheapest cuts come from
+f[j] = penalty[j] + min(f[i] + padding(i, j)), where the minimum over a sliding range of i
+is kept in a monotone queue.
 
 Defined results: a null text is an empty one, whose document is the end id alone.
-Repeated ids are documents of their own, one after the other. A null id is dealt like
-any other. Other columns are ignored, whatever their names. No documents, no rows.
+Repeated ids are documents of their own, one after the other; so are rows with a null id,
+however many there are, as rows are dealt by their bytes and not by their ids. Other columns
+are ignored, whatever their names. No documents, no rows.
 """
 
 from __future__ import annotations
 
-import math
 import string
 import unicodedata
 import zlib
@@ -25,18 +27,19 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import plan_bytes, table
+from mixspark.llm.common import table
 from mixspark.llm.text import pieces, texts_of
 
 SIZE = 4096
 END = 2
 #: Penalties in ids of padding: for a cut after a sentence, and elsewhere within a document.
 AFTER_SENTENCE, WITHIN = 2, 64
-#: Bytes of stored table that make up a shard.
+#: Bytes of text that are cut into windows together.
 SHARD = 3 << 20
 #: Words that a worker remembers the ids of, at most; then it starts anew.
 REMEMBERED = 400_000
@@ -208,47 +211,67 @@ def may_cut(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE) -
     return positions, penalty
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SIZE, shard_bytes: int = SHARD, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids (array<int>)."""
-    shards = max(1, math.ceil(plan_bytes(docs, text_col) / shard_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
+class _Run:
+    """Token ids of the documents that are cut into windows together."""
 
-    def run(key, rows):
-        import os
+    def __init__(self):
+        self.names, self.parts, self.sentences, self.ends, self.total, self.bytes = [], [], [], [], 0, 0
 
-        import public_tokenizers
+    def add(self, encoder: Encoder, names: pa.Array, texts: list[str], size: int) -> None:
+        ids, stop, stops = encoder.encode(texts)
+        # An end id goes in after each text: what lies behind it moves by one for each.
+        self.sentences.append(stops + np.searchsorted(stop, stops) + self.total)
+        ids = np.insert(ids, stop, END)
+        self.ends.append(stop + np.arange(1, len(stop) + 1) + self.total)
+        self.parts.append(ids)
+        self.names.append(names)
+        self.total += len(ids)
+        self.bytes += size
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoder(public_tokenizers.path(vocabulary))
-        rows = rows.sort_by([("_id", "ascending"), ("_text", "ascending")])
-        parts, sentences, ends, total = [], [], [], 0
-        for part in pieces(rows, "_text"):
-            ids, stop, stops = encoder.encode(texts_of(part.column("_text")))
-            # An end id goes in after each text: what lies behind it moves by one for each.
-            sentences.append(stops + np.searchsorted(stop, stops) + total)
-            ids = np.insert(ids, stop, END)
-            ends.append(stop + np.arange(1, len(stop) + 1) + total)
-            parts.append(ids)
-            total += len(ids)
-        ids, doc_ends = np.concatenate(parts).astype("<u4"), np.concatenate(ends)
+    def cut(self, first: int, size: int, with_ids: bool) -> tuple[list[pa.Array], int]:
+        """Columns of the pieces, whose sequences are numbered from `first` on, and how many sequences there are."""
+        ids, doc_ends = np.concatenate(self.parts).astype("<u4"), np.concatenate(self.ends)
         sizes = np.diff(doc_ends, prepend=0)
-        cuts, _ = cheapest_cuts(*may_cut(doc_ends, np.concatenate(sentences), size), size)
+        cuts, _ = cheapest_cuts(*may_cut(doc_ends, np.concatenate(self.sentences), size), size)
         edges = _merged([doc_ends, cuts])
         begin, end = edges[:-1], edges[1:]
         doc, seq = np.searchsorted(doc_ends, begin, "right"), np.searchsorted(cuts, begin, "right") - 1
         raw = memoryview(ids).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        columns = [rows.column("_id").take(pa.array(doc)), pa.array(begin - (doc_ends - sizes)[doc]), pa.array(end - begin), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(seq + (key[0].as_py() << 36)), pa.array(begin - cuts[seq])]
-        names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        columns = [pa.concat_arrays(self.names).take(pa.array(doc)), pa.array(begin - (doc_ends - sizes)[doc]), pa.array(end - begin), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(seq + first), pa.array(begin - cuts[seq])]
         if with_ids:
             columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32))))
-            names.append("ids")
-        return pa.table(dict(zip(names, columns, strict=True)))
+        return columns, len(cuts) - 1
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SIZE, shard_bytes: int = SHARD, with_ids: bool = False) -> DataFrame:
+    """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids (array<int>)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+
+    def run(batches):
+        import os
+
+        import public_tokenizers
+        from pyspark import TaskContext
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = _encoder(public_tokenizers.path(vocabulary))
+        now, first = _Run(), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                now.add(encoder, part.column("_id"), texts_of(part.column("_text")), pc.sum(pc.binary_length(part.column("_text"))).as_py())
+                if now.bytes >= shard_bytes:
+                    columns, n = now.cut(first, size, with_ids)
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    now, first = _Run(), first + n
+        if now.parts:
+            yield pa.RecordBatch.from_arrays(now.cut(first, size, with_ids)[0], names)
 
     schema = f"{id_col} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
-    # A hash of the id deals evenly, whatever the ids are; copies have different ids.
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("_shard"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return dealt.groupBy("_shard").applyInArrow(run, schema)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    # In order, a task that runs again gives the same pieces, however its input was fetched.
+    return rows.sortWithinPartitions("_id", "_text").mapInArrow(run, schema)
 
 
 def op6_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

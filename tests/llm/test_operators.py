@@ -79,20 +79,35 @@ def test_packing_round_trip(docs, odd, none):
 
     plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     plain.encode_special_tokens = True
-    for df in (docs, odd.where("doc_id IS NOT NULL AND doc_id <> 7")):
+    for df in (docs, odd):
         got = packing.pack(df, shard_bytes=200_000, with_ids=True).toPandas()
-        for i, t in texts(df):
-            ids = plain.encode(t, add_special_tokens=False).ids + [2]
-            own = got[got.doc_id == i].sort_values("start")
-            assert [x for a in own.ids for x in a] == ids and set(own.doc_tokens) == {len(ids)}
-            for r in own.itertuples():
-                assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        want = Counter((str(i), *plain.encode(t, add_special_tokens=False).ids, 2) for i, t in texts(df))
+        # A document's pieces follow each other: in its sequence, and then at the beginning of the next one.
+        found, open_ = Counter(), []
+        for r in got.sort_values(["sequence_id", "offset"]).itertuples():
+            assert r.start == len(open_) and r.length == len(r.ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+            open_ += list(r.ids)
+            if len(open_) == r.doc_tokens:
+                found[str(None if r.doc_id != r.doc_id else int(r.doc_id)), *open_] += 1
+                open_ = []
+        assert found == want and not open_
         for _, s in got.groupby("sequence_id"):
             s = s.sort_values("offset")
             assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 4096
     assert packing.pack(none).count() == 0
 
 
+def test_packing_pads_little_whatever_the_plan(spark):
+    """Rows of a join, rows without an id, and rows of one id."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    same = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.lit("Some words, and then some more. " * 9).alias("text"))
+    for df in (docs, docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id"), same):
+        got = packing.pack(df, shard_bytes=1 << 20).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas().n
+        assert sum(4096 - n for n in got if n & (n - 1)) < 0.01 * got.sum()
+    assert packing.pack(same).where("start = 0").count() == 20_000
+
+
 def test_cheapest_cuts_are_cheapest():
     rng = random.Random(2)
     for _ in range(60):
@@ -135,23 +150,47 @@ def test_license_notices_are_found(spark):
     assert got[0].labels == "gpl-3" and got[0].n_base == 0 and got[1].labels == "" and got[2].labels == "bsd"
 
 
-def test_backoff_lm(docs, odd, none):
-    for df in (docs, odd.where("doc_id IS NOT NULL")):
-        got = sorted(backoff_lm.score(df, F.col("doc_id") % 3 != 0, block_bytes=50_000, range_bytes=20_000).collect(), key=lambda r: (r.doc_id, r.n_tokens))
-        tokens = sorted(((i, [*words(t), None]) for i, t in texts(df)), key=lambda x: (x[0], len(x[1])))
-        one, two = Counter(), Counter()
-        for i, w in tokens:
-            if i % 3:
-                one.update(w)
-                two.update(zip([0, *w[:-1]], w, strict=True))
-        n, v, k = sum(one.values()), len(one), backoff_lm.PRIOR
-        for r, (i, w) in zip(got, tokens, strict=True):
-            p = [(one[x] + 1) / (n + v + 1) for x in w]
-            s = sum(math.log10((two[h, x] + k * q) / ((one[None] if h == 0 else one[h]) + k)) for h, x, q in zip([0, *w[:-1]], w, p, strict=True))
-            assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (i, len(w), sum(one[x] > 0 for x in w), n)
-            assert r.base_score == pytest.approx(sum(map(math.log10, p)), rel=1e-9) and r.score == pytest.approx(s, rel=1e-9)
-    assert backoff_lm.score(none, F.lit(True)).count() == 0
-    assert {r.score for r in backoff_lm.score(odd, F.lit(False)).collect()} == {0.0}
+def backed_off(tokens, train, order, k):
+    """For each text: its tokens, how many are known, all training tokens, the sum of single words' and of the model's log10 probabilities."""
+    count, texts = Counter(), 0
+    for i, w in tokens:
+        if train(i):
+            texts += 1
+            for m in range(1, order + 1):
+                own = w if m == 1 else [0, *w]
+                count.update(tuple(own[j : j + m]) for j in range(len(own) - m + 1))
+    one = {g: c for g, c in count.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+
+    def p(h, x):
+        if not h:
+            return (count[x,] + 1) / (n + v + 1)
+        of = texts if h == (0,) else count[h]
+        return (count[*h, x] + k * p(h[1:], x)) / (of + k)
+
+    for i, w in tokens:
+        own = [0, *w]
+        whole = [p(tuple(own[max(0, j - order + 1) : j]), own[j]) for j in range(1, len(own))]
+        yield i, len(w), sum(count[x,] > 0 for x in w), n, sum(math.log10(p((), x)) for x in w), sum(map(math.log10, whole))
+
+
+@pytest.mark.parametrize(("order", "coarse"), [(1, 12), (2, 12), (3, 12), (3, 1), (4, 2)])
+def test_backoff_lm(docs, odd, none, order, coarse):
+    for df in (docs, odd):
+        got = sorted(([r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score] for r in backoff_lm.score(df, F.col("doc_id") % 3 != 0, order=order, block_bytes=50_000, range_bytes=20_000, coarse=coarse, bundle_bytes=60_000).collect()), key=str)
+        want = sorted(map(list, backed_off([(i, [*words(t), None]) for i, t in texts(df)], lambda i: i is not None and i % 3 != 0, order, backoff_lm.PRIOR)), key=str)
+        assert [g[:4] for g in got] == [w[:4] for w in want]
+        assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9)
+    assert backoff_lm.score(none, F.lit(True), order=order).count() == 0
+    assert {r.score for r in backoff_lm.score(odd, F.lit(False), order=order).collect()} == {0.0}
+
+
+def test_backoff_lm_spreads_repeated_ids(spark):
+    # 10,000 rows without an id and 10,000 of one id, and rows of a join: the same results, and no block holds them all.
+    text = "a b c d e f g h i j " * 20
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.lit(text).alias("text"))
+    got = backoff_lm.score(df, F.col("doc_id").isNull(), block_bytes=200_000).groupBy("doc_id", "n_tokens", "n_known", "train_tokens").agg(F.count("*").alias("n"), F.countDistinct(F.round("score", 6)).alias("scores")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.n, r.scores) for r in got) == [("7", 201, 201, 2_010_000, 10_000, 1), ("None", 201, 201, 2_010_000, 10_000, 1)]
 
 
 def brute_components(rows):
@@ -184,8 +223,9 @@ def test_jaccard_join(spark, docs, odd, none):
             w[rng.randrange(80)] = f"v{rng.randrange(30)}"
         near.append((i, " ".join(w) if i % 2 else " ".join(base[:30] + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([5, 10, 60]))])))
     for df in (docs, odd.where("doc_id IS NOT NULL"), spark.createDataFrame(near, "doc_id bigint, text string")):
-        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar(df, range_bytes=50_000).collect())
-        assert got == brute_components(texts(df))
+        for coarse in (12, 1):
+            got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar(df, range_bytes=20_000, coarse=coarse).collect())
+            assert got == brute_components(texts(df))
     assert jaccard_join.similar(none).count() == 0
     alone = jaccard_join.similar(odd).where("doc_id IS NULL").collect()
     assert len(alone) == 1 and alone[0].component_id is None
