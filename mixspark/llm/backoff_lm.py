@@ -19,7 +19,7 @@ bundles of blocks stand between: they sum what their blocks have in a coarse ran
 ask for it in fine ranges; so neither a frequent word's list nor the number of messages grows
 with the square of the corpus.
 
-Words are told apart by 64-bit hashes, longer n-grams by 48 bits and those of their range.
+Words are told apart by 64-bit hashes, longer n-grams by 42 bits and those of their range.
 
 Defined results: a null text is an empty one: only the end token. Repeated rows count and
 are scored as often as they occur. Without training texts every p is 1 and every score 0.
@@ -48,6 +48,8 @@ BLOCK, RANGE = 6 << 20, 12 << 20
 #: Ranges that a block sends to at most, as a power of two; beyond it bundles of some megabytes ask in finer ones.
 COARSE = 12
 BUNDLE = 16 << 20
+#: Bits of a longer n-gram's hash that are sent, beside those of its range.
+LOW = 42
 #: Tokens that a lane reads; all lanes of a block are read at once.
 LANE = 256
 
@@ -108,16 +110,20 @@ def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
 
 
 def _pack_steps(parts: list[np.ndarray]) -> bytes:
-    """Sorted numbers as their differences, of four bytes each; those that need more follow."""
+    """Sorted numbers as their differences, of four or six bytes each; those that need more follow."""
     steps = np.concatenate([np.diff(x, prepend=np.uint64(0)) for x in parts]) if parts else np.zeros(0, np.uint64)
-    most = np.uint64(0xFFFFFFFF)
-    return np.minimum(steps, most).astype("<u4").tobytes() + steps[steps >= most].astype("<u8").tobytes()
+    width = 4 if 8 * int((steps >= 0xFFFFFFFF).sum()) <= 2 * len(steps) else 6
+    most = np.uint64((1 << 8 * width) - 1)
+    short = np.minimum(steps, most).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + short.tobytes() + steps[steps >= most].astype("<u8").tobytes()
 
 
 def _unpack_steps(raw: bytes, sizes: list[int]) -> list[np.ndarray]:
-    n = sum(sizes)
-    steps = np.frombuffer(raw, "<u4", n).astype(np.uint64)
-    steps[steps == 0xFFFFFFFF] = np.frombuffer(raw, "<u8", offset=4 * n)
+    n, width = sum(sizes), raw[0]
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, 1).reshape(n, width)
+    steps = wide.view("<u8").ravel().astype(np.uint64)
+    steps[steps == (1 << 8 * width) - 1] = np.frombuffer(raw[1 + n * width :], "<u8")
     total, ends = np.cumsum(steps), np.cumsum(sizes)
     # What stood before a part is taken off; the sums may wrap, their differences don't.
     return [total[e - k : e] - (total[e - k - 1] if e > k else np.uint64(0)) for k, e in zip(sizes, ends.tolist(), strict=True)]
@@ -128,7 +134,7 @@ _CELL_KINDS = {"sizes": pa.list_(pa.int32()), "words": pa.binary(), "longer": pa
 
 
 def _cell(keys: list[np.ndarray], counts: list[np.ndarray]) -> dict:
-    """Keys and counts of each order, to be sent: words as they are, the others as 48-bit numbers."""
+    """Keys and counts of each order, to be sent: words as they are, the others by their differences."""
     return {"sizes": [len(k) for k in keys], "words": keys[0].tobytes(), "longer": _pack_steps(keys[1:]), "counts": _pack_counts(np.concatenate(counts))}
 
 
@@ -152,18 +158,18 @@ def _edges(keys: np.ndarray, bits: int, of: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _low(keys: np.ndarray, bits: int) -> np.ndarray:
-    """48 bits of each key below those of its range."""
-    return (keys << np.uint64(bits)) >> np.uint64(16)
+def _low(keys: np.ndarray, first: int, second: int) -> np.ndarray:
+    """LOW bits of each key below those of its fine range, and these."""
+    return (keys << np.uint64(first)) >> np.uint64(64 - LOW - second)
 
 
-def _ask(b: Block, block: int, bits: int, bundles: int) -> list[dict]:
+def _ask(b: Block, block: int, bits: int, second: int, bundles: int) -> list[dict]:
     """A row for each range: what the block has and asks for in it."""
     edges, counts = [_edges(g, bits, 64) for g in b.grams], b.counts()
     out = []
     for k in range(1 << bits):
         own = [slice(e[k], e[k + 1]) for e in edges]
-        keys = [g[s] if m == 0 else _low(g[s], bits) for m, (g, s) in enumerate(zip(b.grams, own, strict=True))]
+        keys = [g[s] if m == 0 else _low(g[s], bits, second) for m, (g, s) in enumerate(zip(b.grams, own, strict=True))]
         out.append({"range": k, "bundle": block % bundles, "block": block} | _cell(keys, [c[s] for c, s in zip(counts, own, strict=True)]))
     return out
 
@@ -300,7 +306,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rows = rows.sortWithinPartitions("_id", "_text", "_train").select(place.alias("_block"), "_id", "_text", "_train")
 
     def ask(key, t):
-        return _table(_ask(Block(t, order), key[0].as_py(), first, bundles), _ASK_KINDS)
+        return _table(_ask(Block(t, order), key[0].as_py(), first, second, bundles), _ASK_KINDS)
 
     def answer(key, t):
         got = t.to_pylist()
@@ -311,7 +317,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def refine(key, t):
         # A bundle asks for what its blocks have, once, in the fine ranges of its coarse one.
         keys, totals = _summed([_opened(r) for r in t.to_pylist()], order)
-        edges = [_edges(k << np.uint64(first) if m == 0 else k, second, 64 if m == 0 else 48) for m, k in enumerate(keys)]
+        edges = [_edges(k << np.uint64(first) if m == 0 else k, second, 64 if m == 0 else LOW + second) for m, k in enumerate(keys)]
         out = []
         for f in range(1 << second):
             own = [slice(e[f], e[f + 1]) for e in edges]
@@ -323,7 +329,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         opened = [_opened(r) for r in got]
         keys, _ = _summed(opened, order)
         fine = sorted(answers.to_pylist(), key=lambda r: r["fine"])
-        edges = [_edges(k << np.uint64(first) if m == 0 else k, second, 64 if m == 0 else 48) for m, k in enumerate(keys)]
+        edges = [_edges(k << np.uint64(first) if m == 0 else k, second, 64 if m == 0 else LOW + second) for m, k in enumerate(keys)]
         totals = [[] for _ in range(order)]
         for f, r in enumerate(fine):
             sizes = [int(e[f + 1] - e[f]) for e in edges]
