@@ -1,65 +1,78 @@
-"""License scans with DataFrame functions only: an index of rare words by position.
+"""License scans with DataFrame functions only: a positional index of rare words.
 
-Words are maximal runs of digits, lower-cased ASCII letters and non-ASCII characters.
-The document frequencies of all words of the licence notices are counted over the
-corpus; each notice is indexed by the place of its words of the highest IDF. A text's
-rare words look up the notices, and the places where a notice would have to begin
-are intersected; where one is left, the notice's mandatory phrases are verified in
-the words that follow. All of it happens within a row, so no text is shuffled.
+Words are maximal runs of digits, lower-cased ASCII letters and non-ASCII characters. The
+rarest words of every licence text, by their inverse document frequency among all licence
+texts, are its postings: word and places. A file is looked up by its own words: of those it
+shares with a text's postings, the `RARE` of the highest IDF. Each place of such a word in
+the file, less a place of it in the text, says where in the file the text would have to
+begin; where enough of them agree, to within `SLACK` words (a name may have been put in), the
+text's mandatory phrases are verified in the words from there on, and the share of its rare
+words found there, weighted by IDF, is the score. Below `LEAST` it is no find.
+
+All of it happens within a row, in one pass: no text is shuffled, and a file's labels
+depend on nothing but the file. Work grows with a file's length times its logarithm.
 
 Defined results: a null text is an empty one and has no labels (an empty string) and
 score 0. Repeated rows give repeated rows; other columns are ignored, whatever their names.
+A file with two licences has both labels, and one that repeats a licence has a find for each
+time. A label's texts are looked up each by itself; the score is the best of all finds, 1
+where there is a base phrase.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixspark.llm.common import table
+from mixspark.llm.license_texts import TEXTS
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that are labels wherever their words stand consecutively. Fixed by the contract.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Words beside the rarest in which a phrase is looked for; each phrase has one of them.
+#: Words by whose places the base phrases are found; each phrase has one of them.
 _BASE_WORDS = ("license", "nc")
+#: Posted words of a text; of those that a file has, the rarest that are looked up; how far places may be apart that agree.
+POSTED, RARE, SLACK = 24, 6, 8
+#: Share of the words looked up that must agree, and the least score.
+AGREE, LEAST = 0.6, 0.5
 
 
 @dataclass(frozen=True)
-class Notice:
-    """A licence's customary notice and the phrases without which it isn't that licence."""
+class Template:
+    """A licence text: its words, and of its posted words, rarest first, their IDF and their places."""
 
     label: str
-    text: str
+    words: tuple[str, ...]
     mandatory: tuple[str, ...]
+    postings: tuple[tuple[str, float, tuple[int, ...]], ...]
 
     @property
-    def words(self) -> list[str]:
-        return self.text.split()
-
-
-NOTICES = (
-    Notice("mit", "released under the mit license", ("mit license",)),
-    Notice("mit", "licensed under the mit license", ("mit license",)),
-    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted",)),
-    Notice("apache-2", "licensed under the apache license version 2 0", ("apache license",)),
-    Notice("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    Notice("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    Notice("lgpl-3", "licensed under the gnu lesser general public license version 3", ("gnu lesser general public license",)),
-    Notice("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
-    Notice("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    Notice("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    Notice("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    Notice("cc-by", "creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    Notice("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
-    Notice("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
-#: Rare words of a notice that are looked up; all of them must agree on where it begins.
-RARE = 2
+    def total(self) -> float:
+        return sum(w for _, w, _ in self.postings)
+
+
+def templates(texts: Sequence[tuple[str, str, tuple[str, ...]]] = TEXTS) -> tuple[Template, ...]:
+    """The positional index of (label, text, mandatory phrases)."""
+    split = [tuple(re.findall(WORD, t.lower())) for _, t, _ in texts]
+    df = Counter(w for words in split for w in set(words))
+    out = []
+    for (label, _, mandatory), words in zip(texts, split, strict=True):
+        idf = {w: math.log((len(texts) + 1) / df[w]) for w in words}
+        rare = sorted(idf, key=lambda w: (-idf[w], words.index(w)))[:POSTED]
+        out.append(Template(label, words, mandatory, tuple((w, idf[w], tuple(k for k, x in enumerate(words) if x == w)) for w in rare)))
+    return tuple(out)
+
+
+TEMPLATES = templates()
 
 
 def words_of(text_col: str) -> Column:
@@ -68,66 +81,75 @@ def words_of(text_col: str) -> Column:
 
 
 def _array(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    # Licence words have no quotes; as text, a long list is one expression to build.
+    return F.expr(f"array({', '.join(repr(w) for w in words)})")
 
 
-def idf(docs: DataFrame, text_col: str = "text", notices=NOTICES) -> dict[str, float]:
-    """Inverse document frequency over all of docs of every word in the notices: as many numbers as they have words."""
-    vocabulary = sorted({w for n in notices for w in n.words})
-    got = docs.select(F.explode(F.array_append(F.array_intersect(words_of(text_col), _array(vocabulary)), F.lit("")))).groupBy("col").count().collect()
-    df = {r[0]: r[1] for r in got}
-    return {w: math.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
+def _phrase_starts(words: Column, spots: Column, phrase: list[str]) -> Column:
+    """Places (from 0) where the phrase's words stand consecutively, from the spots of one of them."""
+    at = next(k for k, w in enumerate(phrase) if w in _BASE_WORDS)
 
+    def fits(i: Column) -> Column:
+        return reduce(and_, [F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)], i >= 0)
 
-def _phrase_starts(words: Column, phrase: list[str]) -> Column:
-    """Places (from 0) where the phrase's words stand consecutively."""
+    return F.filter(F.transform(F.filter(spots, lambda x: x.w == phrase[at]), lambda x: x.i - at), fits)
 
-    def place(w: Column, i: Column) -> Column:
-        fits = w == phrase[0]
-        for k, x in enumerate(phrase[1:], 1):
-            fits = fits & F.coalesce(F.get(words, i + k) == x, F.lit(False))
-        return F.when(fits, i)
 
-    return F.filter(F.transform(words, place), lambda x: x.isNotNull())
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, wherever body uses it: also in a lambda, which would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _begins(spots: Column, word: str, place: int) -> Column:
-    """Where a notice would begin whose word at this place is found at these spots."""
-    return F.transform(F.filter(spots, lambda x: x.w == word), lambda x: x.i - place)
+def _finds(words: Column, spots: Column, t: Template) -> Column:
+    """Where the template is found: struct(label, start, score)."""
+    n_posted, posted = len(t.postings), _array([w for w, _, _ in t.postings])
+    places = F.expr(f"map({', '.join(f'{w!r}, array({', '.join(map(str, p))})' for w, _, p in t.postings)})")
+    weights = F.expr(f"map({', '.join(f'{w!r}, {idf!r}D' for w, idf, _ in t.postings)})")
 
+    def begins(own: Column, rare: Column) -> Column:
+        looked = F.filter(own, lambda x: F.array_contains(rare, x.w))
+        return F.array_sort(F.flatten(F.transform(looked, lambda x: F.transform(F.element_at(places, x.w), lambda p: x.i - p))))
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, weights: dict[str, float] | None = None) -> DataFrame:
-    """id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, and found: struct(label, start, score) of every notice."""
-    weights = idf(docs, text_col, notices) if weights is None else weights
-    index = []  # of each notice: its rarest words with their places
-    for n in notices:
-        places = sorted(range(len(n.words)), key=lambda k: (-weights[n.words[k]], k))
-        index.append([(n.words[k], k) for k in places if n.words.index(n.words[k]) == k][:RARE])
-    anchors = sorted({w for i in index for w, _ in i} | set(_BASE_WORDS))
-    words, spots = F.col("_words"), F.col("_spots")
-    empty = F.array().cast("array<int>")
-    rows = docs.select(F.col(id_col), words_of(text_col).alias("_words"))
-    # Only texts with such a word are looked into; the others end here.
-    rows = rows.withColumn("_spots", F.when(F.arrays_overlap(words, _array(anchors)), F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())))
-    rows = rows.withColumns({f"_b{k}": F.when(F.exists(spots, lambda x: x.w.isin(*_BASE_WORDS)), _phrase_starts(words, p.split())) for k, p in enumerate(BASE)})
+    def agreed(b: Column, least: Column) -> Column:
+        # Sorted begins: the one `least - 1` places on is near enough. Of those that agree one after the other, the first.
+        def agree(j: Column) -> Column:
+            return F.coalesce(F.get(b, j + least - 1) - F.get(b, j) <= SLACK, F.lit(False))
 
-    def found(n: Notice, anchor: list[tuple[str, int]]) -> Column:
-        begins = [_begins(spots, w, k) for w, k in anchor]
-        both = begins[0] if len(begins) == 1 else F.array_intersect(begins[0], begins[1])
-        size, total = len(n.words), sum(weights[w] for w in n.words) or 1.0
+        return F.filter(F.transform(b, lambda x, j: F.when(agree(j) & ~F.coalesce((j > 0) & agree(j - 1) & (x - F.get(b, j - 1) <= SLACK), F.lit(False)), x)), lambda x: x.isNotNull())
 
-        def one(at: Column) -> Column:
-            window = F.slice(words, F.greatest(at, F.lit(0)) + 1, size)
+    def verified(at: Column) -> Column:
+        def judged(window: Column) -> Column:
             joined = F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" "))
-            ok = F.lit(True)
-            for phrase in n.mandatory:
-                ok = ok & joined.contains(f" {phrase} ")
-            share = sum((F.when(F.get(words, at + k) == w, F.lit(weights[w])).otherwise(0.0) for k, w in enumerate(n.words)), F.lit(0.0)) / F.lit(total)
-            return F.when(ok, F.struct(F.lit(n.label).alias("label"), at.alias("start"), F.least(share, F.lit(1.0)).alias("score")))
+            ok = _let(joined, lambda j: reduce(and_, [j.contains(f" {phrase} ") for phrase in t.mandatory]))
+            share = F.aggregate(F.array_intersect(posted, window), F.lit(0.0), lambda a, w: a + F.element_at(weights, w)) / F.lit(t.total)
+            return F.when(ok, _let(F.least(F.round(share, 9), F.lit(1.0)), lambda s: F.when(s >= LEAST, F.struct(F.lit(t.label).alias("label"), F.greatest(at, F.lit(0)).alias("start"), s.alias("score")))))
+
+        return _let(F.slice(words, F.greatest(at, F.lit(0)) + 1, len(t.words) + 3 * SLACK), judged)
 
-        return F.filter(F.transform(F.filter(both, lambda a: a >= 0), one), lambda x: x.isNotNull())
+    def looked_up(own: Column, rare: Column) -> Column:
+        least = F.greatest(F.lit(2), F.ceil(F.size(rare) * AGREE).cast("int"))
+        found = _let(begins(own, rare), lambda b: _let(least, lambda n: F.filter(F.transform(agreed(b, n), verified), lambda x: x.isNotNull())))
+        return F.when(F.size(rare) >= min(2, n_posted), found)
 
-    rows = rows.withColumn("found", F.when(spots.isNotNull(), F.concat(*[found(n, a) for n, a in zip(notices, index, strict=True)])))
+    def from_spots(own: Column) -> Column:
+        # The file's rarest words of this text: in the order of the postings.
+        has = F.array_distinct(F.transform(own, lambda x: x.w))
+        return _let(F.slice(F.array_intersect(posted, has), 1, RARE), lambda rare: looked_up(own, rare))
+
+    return _let(F.filter(spots, lambda x: F.array_contains(posted, x.w)), from_spots)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, and found: struct(label, start, score) of every find."""
+    anchors = sorted({w for t in licences for w, _, _ in t.postings} | set(_BASE_WORDS))
+    words, spots = F.col("_words"), F.col("_spots")
+    empty = F.array().cast("array<int>")
+    rows = docs.select(F.col(id_col), words_of(text_col).alias("_words"))
+    # Only texts with a word that isn't in half of all licences are looked into; the others end here.
+    spotted = F.expr(f"filter(transform(_words, (w, i) -> IF(w IN ({', '.join(map(repr, anchors))}), struct(w AS w, i AS i), NULL)), x -> x IS NOT NULL)")
+    rows = rows.withColumn("_spots", F.when(F.arrays_overlap(words, _array(_telling(licences))), spotted))
+    rows = rows.withColumns({f"_b{k}": F.when(spots.isNotNull(), _phrase_starts(words, spots, p.split())) for k, p in enumerate(BASE)})
+    rows = rows.withColumn("found", F.when(spots.isNotNull(), F.flatten(F.filter(F.array(*[_finds(words, spots, t) for t in licences]), lambda x: x.isNotNull()))))
     starts = F.concat(*[F.coalesce(F.col(f"_b{k}"), empty) for k in range(len(BASE))])
     base = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(F.coalesce(F.col(f"_b{k}"), empty)) > 0, F.lit(label)) for k, label in enumerate(BASE.values())]), lambda x: x.isNotNull())))
     more = F.coalesce(F.transform("found", lambda x: x.label), F.array().cast("array<string>"))
@@ -144,6 +166,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
     )
 
 
+def _telling(licences: tuple[Template, ...]) -> list[str]:
+    """Words of which every verified find and every base phrase has one: one of each mandatory phrase, the one that fewest texts have."""
+    df = Counter(w for t in licences for w in set(t.words))
+    return sorted({min(t.mandatory[0].split(), key=lambda w: (df[w], w)) for t in licences} | set(_BASE_WORDS))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document."""
     return scan(table(spark, sf_dir, "documents")).drop("found")

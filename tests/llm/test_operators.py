@@ -144,10 +144,50 @@ def test_license_scan(docs, odd, none):
     assert license_scan.scan(none).count() == 0
 
 
-def test_license_notices_are_found(spark):
-    rows = [(0, "x y This work is licensed under the GNU General Public License, version 3. z"), (1, "license license general public"), (2, "Redistribution and use in source and binary forms, with or without modification, are permitted")]
-    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got[0].labels == "gpl-3" and got[0].n_base == 0 and got[1].labels == "" and got[2].labels == "bsd"
+def plain_finds(w):
+    """Label, begin and score of every licence text in the words w, by the definition."""
+    out = []
+    for t in license_scan.TEMPLATES:
+        posted = [x for x, _, _ in t.postings]
+        rare = [x for x in posted if x in set(w)][: license_scan.RARE]
+        if len(rare) < min(2, len(posted)):
+            continue
+        begins = sorted(i - k for i, x in enumerate(w) if x in rare for k, y in enumerate(t.words) if x == y)
+        need = max(2, math.ceil(len(rare) * license_scan.AGREE))
+        agree = [j + need <= len(begins) and begins[j + need - 1] - begins[j] <= license_scan.SLACK for j in range(len(begins))]
+        for j, at in enumerate(begins):
+            if not agree[j] or j and agree[j - 1] and at - begins[j - 1] <= license_scan.SLACK:
+                continue
+            window = w[max(at, 0) : max(at, 0) + len(t.words) + 3 * license_scan.SLACK]
+            score = sum(idf for x, idf, _ in t.postings if x in window) / t.total
+            if all(f" {p} " in f" {' '.join(window)} " for p in t.mandatory) and score >= license_scan.LEAST:
+                out.append((t.label, max(at, 0), round(score, 6)))
+    return sorted(out)
+
+
+def test_license_texts_are_found(spark, docs, odd):
+    """Every licence's texts, whole, cut, with words changed or put in, twice, and mixed, against a plain version."""
+    from mixspark.llm.license_texts import TEXTS
+
+    rng, rows = random.Random(3), []
+    for label, text, _ in TEXTS:
+        w = text.split()
+        rows.append((label, text))
+        rows.append((None, "Copyright some one.\n" + text.upper() + " And so on."))
+        rows.append((None, " ".join(x if rng.random() > 0.15 else "other" for x in w)))
+        rows.append((None, " ".join(y for x in w for y in ([x] if rng.random() > 0.03 else [x, "put", "in"]))))
+        rows.append((None, " ".join(w[: len(w) // 2])))
+        rows.append((None, text + " x y z " * 30 + rng.choice(TEXTS)[1]))
+    rows += [(None, "license license general public " * 500), (None, "permission software the of to license " * 400)]
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    for df in (spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string"), docs, odd):
+        got = sorted((str(r.doc_id), r.n_words, sorted((f.label, f.start, round(f.score, 6)) for f in r.found or [])) for r in license_scan.scan(df).collect())
+        assert got == sorted((str(i), len(w), plain_finds(w)) for i, t in texts(df) for w in [word.findall(t.translate(UP))])
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")).collect()}
+    for i, (label, _) in enumerate(rows):
+        if label:
+            assert label in got[i].labels.split(",") and got[i].score == 1
+    assert got[len(rows) - 2].labels == ""
 
 
 def backed_off(tokens, train, order, k):
@@ -271,7 +311,8 @@ def test_bit_sliced_is_exact(spark):
 
 def test_nn_descent_recall(spark):
     df, x = vectors(spark)
-    got = nn_descent.nearest(df, F.col("vec_id") % 10 == 0, 5, degree=8, rounds=1, beam=32).toPandas()
+    odd = spark.createDataFrame([(950, [1.0] * 3, 0), (951, [], 0), (960, [2.0] * 3, 0)], df.schema)
+    got = nn_descent.nearest(df.unionByName(odd), F.col("vec_id") % 10 == 0, 5, degree=8, beam=32).toPandas()
     hit = 0
     for i, g in got.groupby("query_id"):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
@@ -283,6 +324,28 @@ def test_nn_descent_recall(spark):
     equal = got[got.query_id == 60].sort_values("rank").vec_id.tolist()
     assert equal == [50, 51, 52, 53, 54]
     assert nn_descent.nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("neighbours_")]
+
+
+def test_descent_makes_the_graph(spark):
+    """Random first neighbours are hardly any of the nearest; rounds of descent find these, until few edges change."""
+    n, k = 6000, 10
+    x = np.random.default_rng(8).normal(size=(n, 8))
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id bigint, v binary")
+    d = ((x[:200, None] - x[None]) ** 2).sum(2)
+    d[np.arange(200), np.arange(200)] = np.inf
+    want = np.argsort(d, 1)[:, :k]
+    shares = []
+
+    def recall(rounds):
+        got = nn_descent.neighbours(nodes, n, 16, rounds=rounds, report=lambda r, s: shares.append((r, s))).where("u < 200").toPandas()
+        assert np.allclose(got.d, ((x[got.u] - x[got.w]) ** 2).sum(1), rtol=0.05, atol=0.01)
+        return sum(len(set(g.w) & set(want[u])) for u, g in got.groupby("u")) / (200 * k)
+
+    assert recall(0) < 0.2
+    assert recall(None) > 0.95
+    assert [r for r, _ in shares] == [*range(1, len(shares) + 1)] and len(shares) > 2
+    assert shares[-1][1] <= nn_descent.DELTA < shares[-2][1]
 
 
 def test_language_id(spark, docs, odd, none):
