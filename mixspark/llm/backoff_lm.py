@@ -29,6 +29,7 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +100,12 @@ class Block:
 
 
 def _pack_counts(c: np.ndarray) -> bytes:
-    """A byte for each count; those that need more follow."""
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<u8").tobytes()
+    """A byte for each count; those that need more follow. Compressed, as most are alike."""
+    return zlib.compress(np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<u8").tobytes(), 1)
 
 
 def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
     c = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     c[c == 255] = np.frombuffer(raw, "<u8", offset=n)
     return c
