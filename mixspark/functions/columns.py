@@ -20,11 +20,6 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def soft_threshold(x: Column, by: float) -> Column:
-    """x moved towards 0 by `by`, and 0 within that distance."""
-    return F.when(x > by, x - by).when(x < -by, x + by).otherwise(0.0)
-
-
 def normalised(values: Column) -> Column:
     """An array of non-negative numbers divided by its sum; all zeros become equal shares."""
     s = total(values)

@@ -39,7 +39,9 @@ def normalise(counts: DataFrame, method: str = "log_cpm", n_spots: int | None =
 def normalise_signatures(signatures: DataFrame, method: str = "log_cpm") -> DataFrame:
     """gene_id, x: the same for dense signatures, whose libraries are the sums over genes of each type."""
     if method == "raw":
-        return signatures
+        return signatures.select("gene_id", F.col("x").cast("array<double>").alias("x"))
+    if method not in ("log_cpm", "pearson"):
+        raise ValueError(f"unknown method: {method}")
     if method == "log_cpm":
         k = len(signatures.first().x)
         libs = signatures.agg(*[F.sum(F.get("x", F.lit(i))).alias(f"l{i}") for i in range(k)]).first()
@@ -49,8 +51,9 @@ def normalise_signatures(signatures: DataFrame, method: str = "log_cpm") -> Data
 
 
 def gene_moments(counts: DataFrame, genes: DataFrame, n_spots: int) -> DataFrame:
-    """gene_id, mean, var (sample) of log-normalised counts over all spots; genes without counts are zeros."""
-    log = normalise(counts.where("value <> 0"), "log_cpm")
+    """gene_id, mean, var (sample) of log1p(1e4 value / library) over all spots, libraries below 1 counting as 1; genes without counts are zeros."""
+    library = counts.groupBy("spot_id").agg(F.greatest(F.sum("value").cast("double"), F.lit(1.0)).alias("lib"))
+    log = counts.where("value <> 0").join(library, "spot_id").select("gene_id", F.log1p(F.col("value") * 1e4 / F.col("lib")).alias("value"))
     sums = log.groupBy("gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     s, q = F.coalesce("s", F.lit(0.0)) / n_spots, F.coalesce("q", F.lit(0.0)) / n_spots
     var = F.greatest(F.lit(0.0), (q - s * s) * (n_spots / (n_spots - 1))) if n_spots > 1 else F.lit(0.0)
@@ -58,15 +61,18 @@ def gene_moments(counts: DataFrame, genes: DataFrame, n_spots: int) -> DataFrame
 
 
 def dispersions(moments: DataFrame) -> DataFrame:
-    """moments with bin and disp: the variance's z-score among genes of like mean, in 20 bins by percentiles of positive means."""
+    """moments with bin and disp: the variance's z-score among genes of like mean, in 20 bins by percentiles of positive means.
+
+    With fewer than two positive means, or where these are all equal, there are no bins: bin and disp are 0.
+    """
     edges = moments.where("mean > 0").agg(F.array_distinct(F.percentile("mean", F.array(*[F.lit(i / 20) for i in range(21)]))).alias("e"))
-    n = F.size(F.col("e"))
+    n = F.coalesce(F.size(F.col("e")), F.lit(0))
     at = F.greatest(F.lit(0), F.least(F.size(F.filter("e", lambda b: b <= F.col("mean"))) - 1, n - 2))
     # A single row of bin edges joins every gene.
-    binned = moments.join(F.broadcast(edges)).withColumn("bin", F.when(F.col("e").isNull(), 0).otherwise(at).cast("int")).drop("e")
+    binned = moments.join(F.broadcast(edges)).withColumn("bin", F.when(n < 2, 0).otherwise(at).cast("int")).withColumn("_bins", n >= 2).drop("e")
     w = Window.partitionBy("bin")
     z = (F.col("var") - F.avg("var").over(w)) / (F.stddev_pop("var").over(w) + 1e-10)
-    return binned.withColumn("disp", F.when(F.count("*").over(w) > 1, z).otherwise(0.0))
+    return binned.withColumn("disp", F.when(F.col("_bins") & (F.count("*").over(w) > 1), z).otherwise(0.0)).drop("_bins")
 
 
 def select_hvg(disp: DataFrame, n_top: int = 2000, min_mean: float = 0.0125, max_mean: float = 3.0, min_disp: float = 0.5) -> DataFrame:

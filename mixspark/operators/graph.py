@@ -9,17 +9,23 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixspark.functions.lineage import cut
 
+#: Points of a cell, for each neighbour that is looked for, at most in the first search.
+MOST = 16
+
 
 def _dimension(spots: DataFrame) -> int:
-    first = spots.select(F.size("coords")).first()
-    if first is not None and first[0] < 1:
+    """Length of the coordinates, which must be the same for all spots, and 1 at least."""
+    low, high, missing = spots.agg(F.min(F.size("coords")), F.max(F.size("coords")), F.count_if(F.col("coords").isNull())).first()
+    if missing or low != high:
+        raise ValueError("coordinates must have one dimension for all spots")
+    if low is not None and low < 1:
         raise ValueError("coordinates need a dimension at least")
-    return first[0] if first else 2
+    return low or 2
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, dim: int) -> DataFrame:
@@ -45,21 +51,43 @@ def radius_graph(spots: DataFrame, radius: float, include_self: bool = False) ->
     return _with_self(within(spots, spots, radius, _dimension(spots)).select("i", "j"), spots, include_self)
 
 
+def _cell(radius: float, dim: int) -> list[Column]:
+    return [F.floor(F.get("coords", F.lit(k)) / F.lit(radius)).alias(f"c{k}") for k in range(dim)]
+
+
+def _first_radius(spots: DataFrame, k: int, n: int, dim: int) -> float:
+    """A radius whose cells hold few points, wherever these lie dense; points far out don't count for more than others."""
+    ranges = [F.percentile_approx(F.get("coords", F.lit(d)), [0.01, 0.99], 1000) for d in range(dim)]
+    spans = [max(e[1] - e[0], 0.0) for e in spots.agg(*ranges).first()]
+    wide = [s for s in spans if s > 0]
+    radius = 1.5 * (math.prod(wide) * (k + 1) / n / 3) ** (1 / len(wide)) if wide else 1.0
+    most = MOST * (k + 1)
+    for _ in range(64):
+        fullest = spots.groupBy(*_cell(radius, dim)).count().agg(F.max("count")).first()[0]
+        if fullest <= most:
+            break
+        radius *= max(0.1, 0.8 * (most / fullest) ** (1 / dim))
+    return radius
+
+
 def nearest(spots: DataFrame, k: int) -> DataFrame:
-    """i, j, d2, r: the k nearest of every point, ties to smaller ids. Points with too few in reach look again twice as far."""
+    """i, j, d2, r: the k nearest of every point, ties to smaller ids. Points with too few in reach look again farther.
+
+    Of the points of one place only those with the k + 1 least ids can be anyone's neighbours, so
+    no place holds more; and the first radius follows the fullest cell, so no cell holds many.
+    """
     dim = _dimension(spots)
-    ranges = [f(F.get("coords", F.lit(d))) for d in range(dim) for f in (F.min, F.max)]
-    n, *ends = spots.agg(F.count("*"), *ranges).first()
+    n = spots.count()
     k = min(k, n - 1)
     order = Window.partitionBy("i").orderBy("d2", "j")
     if k <= 0:
         return spots.sparkSession.createDataFrame([], "i bigint, j bigint, d2 double, r int")
-    spans = [max(b - a, 0.0) for a, b in zip(ends[::2], ends[1::2], strict=True)]
-    wide = [s for s in spans if s > 0]
-    radius = 1.5 * (math.prod(wide) * (k + 1) / n / 3) ** (1 / len(wide)) if wide else 1.0
+    here = Window.partitionBy("coords").orderBy("spot_id")
+    near = cut(spots.select("spot_id", "coords").withColumn("r", F.row_number().over(here)).where(F.col("r") <= k + 1).drop("r"))
+    radius = _first_radius(near, k, n, dim)
     left, out = spots, None
     while True:
-        found = within(left, spots, radius, dim).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+        found = within(left, near, radius, dim).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
         found = cut(found)
         full = found.where(F.col("r") == k).select(F.col("i").alias("spot_id"))
         sure = found.join(full.withColumnRenamed("spot_id", "i"), "i", "left_semi")

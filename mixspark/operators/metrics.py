@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixspark.functions.columns import clip, pearson
-
+from mixspark.functions.lineage import cut
 
 
 def pairs(pred: DataFrame, true: DataFrame) -> DataFrame:
@@ -26,19 +26,34 @@ def mae(df: DataFrame, per_type: bool = False) -> DataFrame:
     return _by(df, per_type).agg(F.avg(F.abs(F.col("pred") - F.col("true"))).alias("mae"))
 
 
+def _mean_ranks(df: DataFrame, c: str) -> DataFrame:
+    """_v, _r: the mean rank of each distinct value of a column, without an ordered partition of them all.
+
+    Values are dealt by their ranges; what the ranges before hold, a number for each, is added to the ranks within one.
+    """
+    counts = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_c"))
+    dealt = cut(counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.sum("_c")).orderBy("_p").collect()  # as many as partitions
+    before, rows = 0, []
+    for p, n in sizes:
+        rows.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "_p int, _o bigint")
+    within = Window.partitionBy("_p").orderBy("_v")
+    ends = dealt.withColumn("_e", F.sum("_c").over(within)).join(F.broadcast(offsets), "_p")
+    return ends.select("_v", (F.col("_o") + F.col("_e") - (F.col("_c") - 1) / 2).alias("_r"))
+
+
 def ranked(df: DataFrame, per_type: bool) -> DataFrame:
     """pred and true replaced by their ranks, ties sharing the mean rank."""
-    scope = ["cell_type"] if per_type else []
     if not per_type:
-        # Over everything one ordered partition is avoided: ranks come from counts of the distinct values.
         for c in ("pred", "true"):
-            counts = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_c"))
-            ends = counts.withColumn("_e", F.sum("_c").over(Window.orderBy("_v"))).select("_v", (F.col("_e") - (F.col("_c") - 1) / 2).alias("_r"))
+            ends = _mean_ranks(df, c)
             df = df.join(ends, df[c] == ends["_v"]).withColumn(c, F.col("_r")).drop("_v", "_r")
         return df
     for c in ("pred", "true"):
-        w = Window.partitionBy(*scope).orderBy(c)
-        df = df.withColumn("_r", F.rank().over(w)).withColumn("_c", F.count("*").over(Window.partitionBy(*scope, c))).withColumn(f"_{c}", F.col("_r") + (F.col("_c") - 1) / 2).drop("_r", "_c")
+        w = Window.partitionBy("cell_type").orderBy(c)
+        df = df.withColumn("_r", F.rank().over(w)).withColumn("_c", F.count("*").over(Window.partitionBy("cell_type", c))).withColumn(f"_{c}", F.col("_r") + (F.col("_c") - 1) / 2).drop("_r", "_c")
     return df.withColumn("pred", F.col("_pred")).withColumn("true", F.col("_true")).drop("_pred", "_true")
 
 
@@ -56,14 +71,28 @@ def jsd(df: DataFrame, eps: float = 1e-10) -> DataFrame:
 
 
 def evaluate(df: DataFrame) -> DataFrame:
-    """scope, cell_type, metric, value: five metrics over all, six for each type."""
-    overall = rmse(df).join(mae(df)).join(correlation(df)).join(correlation(df, method="spearman")).join(jsd(df).agg(F.avg("jsd").alias("jsd")))
-    names = ["rmse", "mae", "pearson", "spearman", "jsd"]
-    a = overall.select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("cell_type"), F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("metric", "value"))
-    by = df.groupBy("cell_type").agg(F.sqrt(F.avg((F.col("pred") - F.col("true")) * (F.col("pred") - F.col("true")))).alias("rmse"), F.avg(F.abs(F.col("pred") - F.col("true"))).alias("mae"), pearson(F.col("pred"), F.col("true")).alias("pearson"), F.avg(F.col("true")).alias("mean_true"), F.avg(F.col("pred")).alias("mean_pred"))
-    by = by.join(correlation(df, True, "spearman"), "cell_type")
-    names = ["rmse", "mae", "pearson", "spearman", "mean_true", "mean_pred"]
-    return a.unionByName(by.select(F.lit("per_cell_type").alias("scope"), "cell_type", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("metric", "value")))
+    """scope, cell_type, metric, value: five metrics over all, six for each type, from one pass with grouping sets."""
+    df = cut(df.select("spot_id", "cell_type", "pred", "true"))
+    keep = [F.col(c).alias(f"{c}_") for c in ("pred", "true")]
+    every = ranked(df.select("*", *keep), False).withColumnsRenamed({"pred": "pa", "true": "ta"}).withColumnsRenamed({"pred_": "pred", "true_": "true"})
+    both = ranked(every.select("*", *keep), True).withColumnsRenamed({"pred": "pt", "true": "tt"}).withColumnsRenamed({"pred_": "pred", "true_": "true"})
+    p, t = F.col("pred"), F.col("true")
+    one = both.rollup("cell_type").agg(
+        F.grouping("cell_type").alias("overall"),
+        F.sqrt(F.avg((p - t) * (p - t))).alias("rmse"),
+        F.avg(F.abs(p - t)).alias("mae"),
+        pearson(p, t).alias("pearson"),
+        pearson(F.col("pa"), F.col("ta")).alias("over_all"),
+        pearson(F.col("pt"), F.col("tt")).alias("in_type"),
+        F.avg(t).alias("mean_true"),
+        F.avg(p).alias("mean_pred"),
+    )
+    one = one.withColumn("spearman", F.when(F.col("overall") == 1, F.col("over_all")).otherwise(F.col("in_type"))).join(F.broadcast(jsd(df).agg(F.avg("jsd").alias("jsd"))))
+    named = lambda names: F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])
+    shared = ["rmse", "mae", "pearson", "spearman"]
+    metrics = F.when(F.col("overall") == 1, named([*shared, "jsd"])).otherwise(named([*shared, "mean_true", "mean_pred"]))
+    out = one.where("overall = 0 OR rmse IS NOT NULL")
+    return out.select(F.when(F.col("overall") == 1, "overall").otherwise("per_cell_type").alias("scope"), "cell_type", F.inline(metrics))
 
 
 def rare_detection(df: DataFrame, threshold: float = 0.05) -> DataFrame:

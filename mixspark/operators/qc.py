@@ -65,8 +65,8 @@ def region_means(proportions: DataFrame, regions: DataFrame) -> DataFrame:
 
 def marker_correlation(counts: DataFrame, proportions: DataFrame, markers: DataFrame) -> DataFrame:
     """cell_type, gene_id, r between a marker's counts and its type's proportion over all spots."""
-    rows = proportions.join(markers, "cell_type").join(counts, ["spot_id", "gene_id"], "left")
-    return rows.groupBy("cell_type", "gene_id").agg(pearson(F.coalesce("value", F.lit(0.0)), F.col("proportion")).alias("r"))
+    wanted = markers.select("cell_type", "gene_id").distinct()
+    return gene_correlation(counts, proportions, wanted.select("gene_id").distinct()).join(wanted, ["cell_type", "gene_id"], "left_semi")
 
 
 def coherence(proportions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def coherence(proportions: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def gene_correlation(counts: DataFrame, proportions: DataFrame, genes: DataFrame) -> DataFrame:
-    """cell_type, gene_id, r of every gene with every type, as marker_correlation has them, from sums over the stored counts only."""
+    """cell_type, gene_id, r of every gene's counts with every type's proportion, from sums over the stored counts only."""
     y, p = F.col("proportion"), F.col("proportion") - F.col("mean")
     types = proportions.groupBy("cell_type").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("vy"), (F.max(y) == F.min(y)).alias("flat"))
     # Tens of types at most.

@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def random_state(seed) -> np.random.RandomState:
-    """The generator that a seed stands for: None, a number or a generator."""
-    if seed is None or seed is np.random:
-        return np.random.mtrand._rand
-    if isinstance(seed, (int, np.integer)):
-        return np.random.RandomState(seed)
-    if isinstance(seed, np.random.RandomState):
+def random_state(seed):
+    """What draws numbers for a seed: numpy's shared generator for none, a new one for a number, and a generator itself."""
+    match seed:
+        case np.random.RandomState():
+            return seed
+        case int() | np.integer():
+            return np.random.RandomState(seed)
+        case None:
+            return np.random  # the module draws from the shared generator
+    if seed is np.random:
         return seed
     raise ValueError(f"not a seed: {seed!r}")
 
@@ -59,6 +62,11 @@ def project(counts: DataFrame, sketch: DataFrame) -> DataFrame:
     return counts.join(sketch, "gene_id").groupBy("spot_id", "bucket").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
 
 
+def gram(x: np.ndarray) -> np.ndarray:
+    """Products of all pairs of rows: of types' sketched signatures."""
+    return x @ x.T
+
+
 def cross_products(counts: DataFrame, weights: DataFrame, spots: DataFrame, k: int) -> DataFrame:
     """spot_id, h (k products of a spot's counts with the weights of each type); the sketch is folded into weights (gene_id, m array)."""
     sums = counts.join(weights, "gene_id").groupBy("spot_id").agg(*[F.sum(F.col("value") * F.get("m", F.lit(i))).alias(f"h{i}") for i in range(k)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mixspark.functions.columns import argmax
 from mixspark.functions.lineage import cut
-from mixspark.operators import features, graph, sketch, solver
+from mixspark.operators import binning, features, graph, sketch, solver
 from mixspark.sources import tables
 
 
@@ -58,8 +59,11 @@ class Deconvolution:
             raise ValueError("signatures and cell types differ in number")
         if not counts.select("spot_id").distinct().join(spots, "spot_id", "left_anti").isEmpty():
             raise ValueError("counts have spots without coordinates")
+        spots = cut(spots.select("spot_id", "coords"))
         self.n_spots_, self.n_cell_types_, self.cell_type_names_ = spots.count(), k, list(cell_types)
-        counts = counts.join(signatures.select("gene_id"), "gene_id", "left_semi")
+        counts = cut(counts.join(signatures.select("gene_id"), "gene_id", "left_semi"))
+        if self.n_spots_ and counts.isEmpty():
+            raise ValueError("no counts of the genes that the signatures have")
         if self.n_hvg:
             moments = features.gene_moments(counts, signatures, self.n_spots_)
             chosen = features.informative_genes(cut(features.dispersions(cut(moments))), signatures, self.n_hvg, self.n_markers_per_type)
@@ -76,14 +80,14 @@ class Deconvolution:
         bucket, weight = sketch.countsketch(len(genes), self.sketch_dim, [lev[g] for g in genes], self.random_state)
         xs = np.zeros((k, self.sketch_dim))
         np.add.at(xs.T, bucket, np.array([x[g] for g in genes]) * weight[:, None])
-        gram, m = xs @ xs.T, xs[:, bucket].T * weight[:, None]
+        gram, m = sketch.gram(xs), xs[:, bucket].T * weight[:, None]
         weights = spark.createDataFrame([(g, v.tolist()) for g, v in zip(genes, m, strict=True)], "gene_id bigint, m array<double>")
         y = cut(y)
         h = sketch.cross_products(y, weights, spots, k)
         y2 = sketch.project(y, spark.createDataFrame([(g, int(b), float(w)) for g, b, w in zip(genes, bucket, weight, strict=True)], "gene_id bigint, bucket int, weight double")).agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
         self.adjacency_ = cut(graph.adjacency(spots, self.spatial_method, self.k_neighbors, self.radius))
         self.lambda_used_ = graph.auto_lambda(float(np.mean(np.diag(gram))), self.adjacency_, spots) if self.lambda_spatial == "auto" else float(self.lambda_spatial)
-        state, self.info_ = solver.solve(h, self.adjacency_, gram, self.lambda_used_, self.rho_sparsity, self.max_iter, self.tol, y2, 10 if self.verbose else 0)
+        state, self.info_ = solver.solve(h, self.adjacency_, gram, self.lambda_used_, self.rho_sparsity, self.max_iter, self.tol, y2, 10 if self.verbose else 0, solver.spatial_tiles(spots))
         self.beta_ = state.select("spot_id", "b")
         self.proportions_ = solver.proportions(state)
         self.fitted = True
@@ -111,28 +115,47 @@ class Deconvolution:
         names = F.array(*[F.lit(t) for t in self.cell_type_names_])
         return self.proportions_.select("spot_id", argmax(F.col("p")).alias("type_id")).withColumn("cell_type", F.get(names, F.col("type_id")))
 
+    def parameters(self) -> dict:
+        """What the fit was made with, the smoothing that was used, and how it ended."""
+        self._check()
+        given = ("sketch_dim", "rho_sparsity", "n_hvg", "n_markers_per_type", "spatial_method", "k_neighbors", "radius", "preprocess", "random_state")
+        found = {"lambda_spatial": float(self.lambda_used_), "n_genes_used": self.n_genes_, "n_cell_types": self.n_cell_types_, "cell_type_names": self.cell_type_names_}
+        return {n: getattr(self, n) for n in given} | found | {"converged": self.info_.converged, "n_iterations": self.info_.n_iterations}
+
     def summary(self) -> dict:
         if not self.fitted:
             return {"fitted": False}
         return {"fitted": True, "n_spots": self.n_spots_, "n_genes": self.n_genes_, "n_cell_types": self.n_cell_types_, "cell_types": self.cell_type_names_, "sketch_dim": self.sketch_dim, "lambda_used": self.lambda_used_, "converged": self.info_.converged, "n_iterations": self.info_.n_iterations, "final_objective": self.info_.final_objective, "preprocess": self.preprocess}
 
 
-def deconvolve(counts: DataFrame, ref_counts: DataFrame, ref_cells: DataFrame, spots: DataFrame, **params) -> Deconvolution:
-    """Fits on the mean signatures of a labelled reference whose genes have the same ids."""
+def deconvolve(counts: DataFrame, ref_counts: DataFrame, ref_cells: DataFrame, spots: DataFrame, genes: DataFrame | None = None, ref_genes: DataFrame | None = None, **params) -> Deconvolution:
+    """Fits on the mean signatures of a labelled reference.
+
+    With genes and ref_genes (gene_id, gene) the sides are aligned by names, and gene ids count in
+    the order of the common ones; without them the sides' ids mean the same genes.
+    """
+    if (genes is None) != (ref_genes is None):
+        raise ValueError("names are needed for the genes of both sides or of neither")
+    if genes is not None:
+        d = tables.prepare_data(counts, genes, ref_counts, ref_genes, ref_cells, spots)
+        return Deconvolution(**params).fit(d.counts, d.signatures, d.spots, d.types)
     types = tables.cell_types(ref_cells)
     signatures = tables.gene_major(tables.reference_signatures(ref_counts, ref_cells), types)
     return Deconvolution(**params).fit(counts, signatures, spots, types)
 
 
-def multiscale(counts: DataFrame, signatures: DataFrame, spots: DataFrame, types: list[str], widths: list[float], **params) -> DataFrame:
-    """bin_size, spot_id, cell_type, proportion: a fit on the bins of every width."""
-    from mixspark.operators import binning
+#: Bin sizes, and the size that a spot stands for.
+BIN_SIZES, BASE = (8, 16, 32, 64, 128), 8
+
 
+def multiscale(counts: DataFrame, signatures: DataFrame, spots: DataFrame, types: list[str], sizes: Sequence[int] = BIN_SIZES, base: int = BASE, **params) -> DataFrame:
+    """bin_size, spot_id (the bin's number), cell_type, proportion: a fit on the bins of every size, in multiples of the spots' spacing."""
+    counts, signatures, spots = cut(counts), cut(signatures), cut(spots)
     out = None
-    for width in widths:
-        bins = binning.aggregate_bins(spots, width).withColumn("bin", F.col("gx") * 1_000_000 + F.col("gy"))
+    for size in sizes:
+        bins = cut(binning.numbered(binning.bins_of_size(spots, size, base)))
         of = bins.groupBy("bin").agg(F.array(F.avg(F.get("coords", F.lit(0))), F.avg(F.get("coords", F.lit(1)))).alias("coords")).select(F.col("bin").alias("spot_id"), "coords")
         summed = counts.join(bins.select("spot_id", "bin"), "spot_id").groupBy(F.col("bin").alias("spot_id"), "gene_id").agg(F.sum("value").alias("value"))
-        got = Deconvolution(**params).fit(summed, signatures, of, types).get_cell_type_proportions().select(F.lit(float(width)).alias("bin_size"), "spot_id", "cell_type", "proportion")
+        got = Deconvolution(**params).fit(summed, signatures, of, types).get_cell_type_proportions().select(F.lit(size).alias("bin_size"), "spot_id", "cell_type", "proportion")
         out = got if out is None else out.unionByName(got)
     return out

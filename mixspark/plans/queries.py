@@ -7,6 +7,7 @@ its first two components, a set of points. Doubles are rounded alike on both sid
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from mixspark.plans.deconvolve import multiscale
 from mixspark.sources import tables
 
 SIDE = 0.12  # radius among the points of embeddings
-WIDTHS = [0.05, 0.1, 0.2, 0.4]  # of bins among the points of embeddings, which span about 1
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def _sig(s, d):
     return tables.gene_major(tables.reference_signatures(_ref(s, d), _cells(s, d)), types)
 
 
+def _by_type(signatures: DataFrame) -> DataFrame:
+    """gene_id, cell_type, value of signatures in the order of types."""
+    out = signatures.select("gene_id", F.posexplode("x").alias("t", "value"))
+    return out.select("gene_id", F.concat(F.lit("type_"), F.col("t")).alias("cell_type"), _r("value").alias("value"))
+
+
 def _shares(s, d):
     """pred and true: shares of a supplier's revenue and quantity by return flag."""
     g = _t(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("spot_id"), F.col("l_returnflag").alias("cell_type")).agg(F.sum("l_quantity").alias("q"), F.count("*").cast("double").alias("n"))
@@ -77,18 +83,30 @@ def _edges(s, d):
 
 _C = "c AS (SELECT l_suppkey AS spot_id, l_partkey AS gene_id, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
 _LOG = _C + ", lib AS (SELECT spot_id, sum(value) AS lib FROM c GROUP BY 1), lc AS (SELECT c.spot_id, gene_id, ln(1 + value * 1e4 / CASE WHEN lib = 0 THEN 1 ELSE lib END) AS value FROM c JOIN lib USING (spot_id))"
-_MOM = _LOG + """, n AS (SELECT count(*) AS n FROM supplier), mom AS (
-  SELECT p_partkey AS gene_id, coalesce(s, 0) / n AS mean, greatest(0, (coalesce(q, 0) / n - (coalesce(s, 0) / n) * (coalesce(s, 0) / n)) * (n * 1.0 / (n - 1))) AS var
-  FROM part LEFT JOIN (SELECT gene_id, sum(value) AS s, sum(value * value) AS q FROM lc GROUP BY 1) x ON gene_id = p_partkey, n)"""
-_DISP = _MOM + """, e AS (SELECT list_distinct(quantile_cont(mean, [i / 20.0 for i in range(21)])) AS e FROM mom WHERE mean > 0),
- b AS (SELECT gene_id, mean, var, greatest(0, least(len(list_filter(e, lambda x: x <= mean)) - 1, len(e) - 2)) AS bin FROM mom, e),
- disp AS (SELECT gene_id, mean, bin, CASE WHEN count(*) OVER w > 1 THEN (var - avg(var) OVER w) / (stddev_pop(var) OVER w + 1e-10) ELSE 0 END AS disp FROM b WINDOW w AS (PARTITION BY bin))"""
+
+
+def _disp_sql(genes: str, spots: str) -> str:
+    """Moments and dispersions of counts c(spot_id, gene_id, value), by the rule for variable genes: libraries below 1 count as 1, no bins without two different positive means."""
+    return f"""hl AS (SELECT spot_id, greatest(sum(value), 1) AS lib FROM c GROUP BY 1),
+ hv AS (SELECT gene_id, ln(1 + value * 1e4 / lib) AS value FROM c JOIN hl USING (spot_id)), n AS (SELECT count(*) AS n FROM {spots}),
+ mom AS (SELECT g.gene_id, coalesce(s, 0) / n AS mean, greatest(0, (coalesce(q, 0) / n - (coalesce(s, 0) / n) * (coalesce(s, 0) / n)) * (n * 1.0 / (n - 1))) AS var
+  FROM ({genes}) g LEFT JOIN (SELECT gene_id, sum(value) AS s, sum(value * value) AS q FROM hv GROUP BY 1) x ON g.gene_id = x.gene_id, n),
+ e AS (SELECT list_distinct(quantile_cont(mean, [i / 20.0 for i in range(21)])) AS e FROM mom WHERE mean > 0),
+ b AS (SELECT gene_id, mean, var, coalesce(len(e), 0) >= 2 AS bins, CASE WHEN coalesce(len(e), 0) >= 2 THEN greatest(0, least(len(list_filter(e, lambda x: x <= mean)) - 1, len(e) - 2)) ELSE 0 END AS bin FROM mom, e),
+ disp AS (SELECT gene_id, mean, bin, CASE WHEN bins AND count(*) OVER w > 1 THEN (var - avg(var) OVER w) / (stddev_pop(var) OVER w + 1e-10) ELSE 0 END AS disp FROM b WINDOW w AS (PARTITION BY bin))"""
+
+
+_DISP = _C + ", " + _disp_sql("SELECT p_partkey AS gene_id FROM part", "supplier")
+_HVG = "v AS (SELECT * FROM disp WHERE mean BETWEEN 0.0125 AND 3 AND disp >= 0.5), f AS (SELECT * FROM v WHERE (SELECT count(*) FROM v) >= {n} UNION ALL SELECT * FROM disp WHERE (SELECT count(*) FROM v) < {n}), hvg AS (SELECT gene_id FROM f ORDER BY disp DESC, gene_id DESC LIMIT {n})"
 _REF = "rc AS (SELECT vec_id AS cell_id, i AS gene_id, greatest(0, round((CAST(embedding[i] AS DOUBLE) + 0.6) * 1000)) AS value, 'type_' || label AS cell_type FROM embeddings, range(1, 65) t(i))"
 _SIG = _REF + ", sg AS (SELECT cell_type, gene_id, sum(value) / count(*) AS v FROM rc GROUP BY 1, 2)"
 _SHARE = _SIG + ", p AS (SELECT cell_type, gene_id, v / (sum(v) OVER (PARTITION BY cell_type) + 1e-10) AS p FROM sg), a AS (SELECT gene_id, list(p ORDER BY cell_type) AS p FROM p GROUP BY 1)"
 _MARK = _SHARE + """, sc AS (SELECT gene_id, list_position(p, list_max(p)) - 1 AS type_id, {score} AS score FROM a),
  r AS (SELECT gene_id, type_id, row_number() OVER (PARTITION BY type_id ORDER BY score DESC, gene_id DESC) AS r FROM sc)"""
-_OWN = " SELECT gene_id, CAST(type_id AS INTEGER) AS type_id FROM r WHERE r <= 5"
+# A type that owns no gene gets its most expressed ones.
+_OWN = """ SELECT gene_id, CAST(type_id AS INTEGER) AS type_id FROM r WHERE r <= 5 UNION ALL
+ SELECT gene_id, CAST(type_id AS INTEGER) FROM (SELECT gene_id, t AS type_id, row_number() OVER (PARTITION BY t ORDER BY v DESC, gene_id DESC) AS r
+ FROM (SELECT gene_id, v, dense_rank() OVER (ORDER BY cell_type) - 1 AS t FROM sg) WHERE t NOT IN (SELECT type_id FROM sc)) WHERE r <= 5"""
 _PTS = "pt AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 _LAT = "sp AS (SELECT s_suppkey AS id, s_suppkey % 10 AS x, s_suppkey // 10 AS y FROM supplier), ed AS (SELECT a.id AS i, b.id AS j FROM sp a JOIN sp b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2.25)"
 _DEG = _LAT + ", dg AS (SELECT id AS spot_id, count(j) AS degree FROM sp LEFT JOIN ed ON i = id GROUP BY 1)"
@@ -132,6 +150,48 @@ def align_genes(s, d):
     return tables.align_genes(p.where("p_size <= 25"), p.where("p_size > 20"))
 
 
+@_add("align_genes_left", "WITH a AS (SELECT p_type AS gene, min(p_partkey) AS left_idx FROM part WHERE p_size <= 25 GROUP BY 1), b AS (SELECT p_type AS gene, min(p_partkey) AS right_idx FROM part WHERE p_size > 20 GROUP BY 1) SELECT gene, left_idx, right_idx, CAST(row_number() OVER (ORDER BY left_idx) - 1 AS INTEGER) AS gene_id FROM a JOIN b USING (gene)")
+def align_genes_left(s, d):
+    p = _t(s, d, "part").select(F.col("p_type").alias("gene"), F.col("p_partkey").alias("idx"), "p_size")
+    return tables.align_genes(p.where("p_size <= 25"), p.where("p_size > 20"), "left")
+
+
+def _prepared(s, d) -> tables.Prepared:
+    """Suppliers and orders by the types of parts: the sides' parts overlap in part, and types repeat."""
+    p = _t(s, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_type").alias("gene"), "p_size")
+    cells = _t(s, d, "orders").select(F.col("o_orderkey").alias("cell_id"), F.col("o_orderpriority").alias("cell_type"))
+    ref = _t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_id")).agg(F.sum("l_quantity").alias("value"))
+    return tables.prepare_data(_counts(s, d), p.where("p_size <= 25"), ref, p.where("p_size > 20"), cells, _spots(s, d))
+
+
+_ALIGNED = "ga AS (SELECT p_type AS gene, min(p_partkey) AS k FROM part WHERE p_size <= 25 GROUP BY 1), gb AS (SELECT p_type AS gene, min(p_partkey) AS k FROM part WHERE p_size > 20 GROUP BY 1), gx AS (SELECT ga.gene, ga.k AS a, gb.k AS b, row_number() OVER (ORDER BY ga.gene) - 1 AS gene_id FROM ga JOIN gb ON ga.gene = gb.gene)"
+
+
+@_add("prepare_data", f"WITH {_C}, {_ALIGNED} SELECT spot_id, gx.gene_id, gene, value FROM c JOIN gx ON c.gene_id = a")
+def prepare_data(s, d):
+    got = _prepared(s, d)
+    return got.counts.join(got.genes, "gene_id").select("spot_id", "gene_id", "gene", "value")
+
+
+@_add("prepare_signatures", f"WITH {_ALIGNED}, n AS (SELECT o_orderpriority AS cell_type, count(*) AS n FROM orders GROUP BY 1), q AS (SELECT o_orderpriority AS cell_type, l_partkey AS k, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT gx.gene_id, n.cell_type, round(coalesce(q, 0) / n, 6) AS value FROM gx CROSS JOIN n LEFT JOIN q ON q.k = gx.b AND q.cell_type = n.cell_type")
+def prepare_signatures(s, d):
+    got = _prepared(s, d)
+    names = F.array(*[F.lit(t) for t in got.types])
+    return got.signatures.select("gene_id", F.posexplode("x").alias("t", "value")).select("gene_id", F.get(names, F.col("t")).alias("cell_type"), _r("value").alias("value"))
+
+
+@_add("load_binned", "SELECT c_custkey AS barcode, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_custkey % 100 AS DOUBLE) AS y FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def load_binned(s, d):
+    places = _t(s, d, "customer").select(F.col("c_custkey").alias("barcode"), F.col("c_nationkey").alias("pxl_col_in_fullres"), (F.col("c_custkey") % 100).alias("pxl_row_in_fullres"))
+    _, spots = tables.load_binned(places, _t(s, d, "orders").select(F.col("o_custkey").alias("barcode"), "o_totalprice"))
+    return spots.select("barcode", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
+
+
+@_add("unique_names", "SELECT p_partkey AS gene_id, p_type || CASE WHEN row_number() OVER w > 1 THEN '-' || (row_number() OVER w - 1) ELSE '' END AS gene FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_partkey)")
+def unique_names(s, d):
+    return tables.unique_names(_t(s, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_type").alias("gene")))
+
+
 @_add("prepare_reference", "WITH p AS (SELECT o_custkey AS cell, max_by(o_orderpriority, o_orderkey) AS cell_type FROM orders GROUP BY 1) SELECT c_custkey AS cell, c_mktsegment AS segment, cell_type FROM customer JOIN p ON cell = c_custkey")
 def prepare_reference(s, d):
     raw = _t(s, d, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("segment"))
@@ -143,9 +203,10 @@ def qc_totals(s, d):
     return features.qc_totals(_counts(s, d), _spots(s, d))
 
 
-@_add("subset_genes", f"WITH {_C} SELECT spot_id, gene_id, value FROM c WHERE gene_id % 7 = 0")
+@_add("subset_genes", f"WITH {_C} SELECT spot_id, gene_id, value FROM c JOIN part ON p_partkey = gene_id WHERE p_type LIKE 'PROMO%'")
 def subset_genes(s, d):
-    return features.subset_genes(_counts(s, d), _genes(s, d).where("gene_id % 7 = 0"))
+    """Counts of the parts whose type is a promotion, as a curated list of genes."""
+    return features.subset_genes(_counts(s, d), _t(s, d, "part").where("p_type LIKE 'PROMO%'").select(F.col("p_partkey").alias("gene_id")))
 
 
 @_add("log_cpm", f"WITH {_LOG} SELECT spot_id, gene_id, round(value, 6) AS value FROM lc")
@@ -162,7 +223,7 @@ def _moments(s, d):
     return features.gene_moments(_counts(s, d), _genes(s, d), _t(s, d, "supplier").count())
 
 
-@_add("gene_moments", f"WITH {_MOM} SELECT gene_id, round(mean, 6) AS mean, round(var, 6) AS var FROM mom")
+@_add("gene_moments", f"WITH {_DISP} SELECT gene_id, round(mean, 6) AS mean, round(var, 6) AS var FROM mom")
 def gene_moments(s, d):
     return _moments(s, d).select("gene_id", _r("mean").alias("mean"), _r("var").alias("var"))
 
@@ -172,7 +233,7 @@ def hvg_bins(s, d):
     return features.dispersions(_moments(s, d)).select("gene_id", "bin", _r("disp", 4).alias("disp"))
 
 
-@_add("hvg_topk", f"WITH {_DISP}, v AS (SELECT * FROM disp WHERE mean BETWEEN 0.0125 AND 3 AND disp >= 0.5), f AS (SELECT * FROM v WHERE (SELECT count(*) FROM v) >= 50 UNION ALL SELECT * FROM disp WHERE (SELECT count(*) FROM v) < 50) SELECT gene_id FROM f ORDER BY disp DESC, gene_id DESC LIMIT 50")
+@_add("hvg_topk", f"WITH {_DISP}, {_HVG.format(n=50)} SELECT gene_id FROM hvg")
 def hvg_topk(s, d):
     return features.select_hvg(features.dispersions(_moments(s, d)), 50)
 
@@ -181,25 +242,35 @@ _SCORES = {"diff": "list_max(p) - list_reverse_sort(p)[2]", "ratio": "list_max(p
 
 
 def _markers(method):
-    def run(s, d):
-        sig = _sig(s, d)
-        scored = features.select_markers(sig, 5, method)
-        return scored.join(features.marker_scores(sig, method).select("gene_id", "type_id"), ["gene_id", "type_id"], "left_semi")
-
-    return run
+    return lambda s, d: features.select_markers(_sig(s, d), 5, method)
 
 
 for _m, _s in _SCORES.items():
     _add(f"markers_{_m}", f"WITH {_MARK.format(score=_s)}{_OWN}")(_markers(_m))
 
 
-@_add("informative_genes", f"WITH {_MARK.format(score=_SCORES['diff'])}, z AS ({_OWN}), h AS (SELECT gene_id, sum(value) / 500 AS m FROM rc GROUP BY 1) SELECT DISTINCT gene_id FROM (SELECT gene_id FROM z UNION ALL SELECT gene_id FROM (SELECT gene_id FROM h ORDER BY gene_id DESC LIMIT 8))")
+@_add("informative_genes", f"WITH {_MARK.format(score=_SCORES['diff'])}, z AS ({_OWN}), c AS (SELECT cell_id AS spot_id, gene_id, value FROM rc), {_disp_sql('SELECT DISTINCT gene_id FROM rc', 'embeddings')}, {_HVG.format(n=8)} SELECT gene_id FROM z UNION SELECT gene_id FROM hvg")
 def informative_genes(s, d):
-    disp = _sig(s, d).select("gene_id", F.lit(1.0).alias("mean"), F.lit(1.0).alias("disp"))
-    sig = _sig(s, d)
-    got = features.informative_genes(disp, sig, 8, 5)
-    empty = features.select_markers(sig, 5).join(features.marker_scores(sig).select("type_id").distinct(), "type_id", "left_anti").select("gene_id")
-    return got.join(empty, "gene_id", "left_anti").unionByName(features.select_hvg(disp, 8)).distinct()
+    sig, counts = _sig(s, d), _ref(s, d).withColumnRenamed("cell_id", "spot_id")
+    moments = features.gene_moments(counts, sig, _t(s, d, "embeddings").count())
+    return features.informative_genes(features.dispersions(moments), sig, 8, 5)
+
+
+@_add("log_cpm_signatures", f"WITH {_SIG}, l AS (SELECT cell_type, sum(v) AS l FROM sg GROUP BY 1) SELECT gene_id, cell_type, round(ln(1 + v * 1e4 / (l + 1e-10)), 6) AS value FROM sg JOIN l USING (cell_type)")
+def log_cpm_signatures(s, d):
+    return _by_type(features.normalise_signatures(_sig(s, d)))
+
+
+@_add("pearson_signatures", f"WITH {_SIG}, m AS (SELECT gene_id, avg(v) + 1e-6 AS mu FROM sg GROUP BY 1) SELECT gene_id, cell_type, round(v / sqrt(mu + mu * mu / 100), 6) AS value FROM sg JOIN m USING (gene_id)")
+def pearson_signatures(s, d):
+    return _by_type(features.normalise_signatures(_sig(s, d), "pearson"))
+
+
+# Of two types centred values are d and -d, and the leverage has a closed form.
+@_add("leverage_two_types", f"WITH {_SIG}, g AS (SELECT gene_id, (max(CASE WHEN cell_type = 'type_0' THEN v END) - max(CASE WHEN cell_type = 'type_1' THEN v END)) / 2 AS d FROM sg GROUP BY 1), t AS (SELECT sum(d * d) AS s FROM g) SELECT gene_id, round(2 * d * d / (2 * s + 1e-6) / (2 * s / (2 * s + 1e-6) + 1e-6), 6) AS leverage FROM g, t")
+def leverage_two_types(s, d):
+    two = _sig(s, d).select("gene_id", F.slice("x", 1, 2).alias("x"))
+    return features.leverage(two).withColumn("leverage", _r("leverage"))
 
 
 @_add("leverage")
@@ -291,6 +362,68 @@ def proportions(s, d):
     return tables.long_proportions(solver.proportions(beta), ["A", "N", "R"]).where("proportion > 0").withColumn("proportion", _r("proportion"))
 
 
+def _flags(s, d):
+    """Per supplier an array of its quantity shares by return flag."""
+    wide = _prop(s, d).groupBy("spot_id").pivot("cell_type", ["A", "N", "R"]).agg(F.first("proportion"))
+    return wide.select("spot_id", F.array(*[F.coalesce(c, F.lit(0.0)) for c in ("A", "N", "R")]).alias("b"))
+
+
+@_add("result_table", f"WITH {_LAT}, {_SH}, w AS (SELECT spot_id, round(coalesce(max(CASE WHEN cell_type = 'A' THEN pred END), 0), 6) AS A, round(coalesce(max(CASE WHEN cell_type = 'N' THEN pred END), 0), 6) AS N, round(coalesce(max(CASE WHEN cell_type = 'R' THEN pred END), 0), 6) AS R, min_by(cell_type, (-pred, cell_type)) AS dominant FROM d GROUP BY 1) SELECT spot_id, A, N, R, dominant, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM w JOIN sp ON id = spot_id")
+def result_table(s, d):
+    beta = _flags(s, d)
+    got = tables.result_table(beta, _spots(s, d).join(beta, "spot_id", "left_semi"), ["A", "N", "R"], "b")
+    return got.withColumns({c: _r(c) for c in "ANR"})
+
+
+#: Gram matrix, smoothing and sparsity of the sweep and the objective that SQL computes as well.
+_GRAM = np.array([[2.0, 0.5, 0.1], [0.5, 1.5, 0.2], [0.1, 0.2, 1.0]])
+_LAMBDA, _RHO, _Y2 = 0.3, 0.05, 1000.0
+
+
+def _state(s, d):
+    """A state of the solver: h is the suppliers' shares of rows by return flag times 3, b those of quantity."""
+    q = _shares(s, d).groupBy("spot_id").pivot("cell_type", ["A", "N", "R"]).agg(F.first("pred").alias("p"), F.first("true").alias("t"))
+    arr = lambda x, f: F.array(*[F.coalesce(F.col(f"{c}_{x}"), F.lit(0.0)) * f for c in "ANR"])
+    return q.select("spot_id", arr("t", 3.0).alias("h"), arr("p", 1.0).alias("b"))
+
+
+_STATE = _LAT + ", " + _SH + ", st AS (SELECT spot_id, " + ", ".join(f"coalesce(max(CASE WHEN cell_type = '{c}' THEN {x} END), 0) * {f} AS {n}{k}" for n, x, f in (("h", "true_", 3.0), ("b", "pred", 1.0)) for k, c in enumerate("ANR")) + " FROM d GROUP BY 1), nb AS (SELECT i AS spot_id, count(*) AS n, sum(b0) AS n0, sum(b1) AS n1, sum(b2) AS n2 FROM ed JOIN st ON st.spot_id = j GROUP BY 1), sn AS (SELECT st.*, coalesce(n, 0) AS n, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2 FROM st LEFT JOIN nb USING (spot_id))"
+
+
+def _sweep_sql() -> str:
+    """A step for each type: later ones see the new values of those before."""
+    parts, source, now = [], "sn", ["b0", "b1", "b2"]
+    for k in range(3):
+        rest = " - ".join(["", *[f"{_GRAM[k, j]} * {now[j]}" for j in range(3) if j != k]])
+        res = f"(h{k}{rest} + {_LAMBDA} * n{k})"
+        parts.append(f"u{k} AS (SELECT *, greatest(0, sign({res}) * greatest(abs({res}) - {_RHO}, 0) / ({_GRAM[k, k]} + {_LAMBDA} * n)) AS c{k} FROM {source})")
+        source, now[k] = f"u{k}", f"c{k}"
+    return ", ".join(parts)
+
+
+@_add("sweep", f"WITH {_STATE}, {_sweep_sql()} SELECT spot_id, round(c0, 6) AS b0, round(c1, 6) AS b1, round(c2, 6) AS b2, round(greatest(abs(c0 - b0), abs(c1 - b1), abs(c2 - b2)), 6) AS change FROM u2")
+def sweep(s, d):
+    edges = _edges(s, d).join(_state(s, d).select(F.col("spot_id").alias("j")), "j", "left_semi")
+    got = solver.sweep(_state(s, d), edges, _GRAM, _LAMBDA, _RHO)
+    return got.select("spot_id", *[_r(F.get("b", F.lit(k))).alias(f"b{k}") for k in range(3)], _r("change").alias("change"))
+
+
+_OWN_PRODUCTS = " + ".join(f"{_GRAM[i, j]} * b{i} * b{j}" for i in range(3) for j in range(3))
+
+
+@_add("objective", f"WITH {_STATE}, a AS (SELECT sum(h0 * b0 + h1 * b1 + h2 * b2) AS products, sum({_OWN_PRODUCTS}) AS own, sum(b0 + b1 + b2) AS l1 FROM st), q AS (SELECT sum((x.b0 - y.b0) * (x.b0 - y.b0) + (x.b1 - y.b1) * (x.b1 - y.b1) + (x.b2 - y.b2) * (x.b2 - y.b2)) / 2 AS q FROM ed JOIN st x ON x.spot_id = i JOIN st y ON y.spot_id = j) SELECT round(0.5 * ({_Y2} - 2 * products + own) + 0.5 * {_LAMBDA} * q + {_RHO} * l1, 6) AS value FROM a, q")
+def objective(s, d):
+    return s.createDataFrame([(round(solver.objective(_state(s, d), _edges(s, d), _GRAM, _Y2, _LAMBDA, _RHO), 6),)], "value double")
+
+
+@_add("gram", f"WITH {_SIG} SELECT a.cell_type AS type1, b.cell_type AS type2, round(sum(a.v * b.v), 4) AS value FROM sg a JOIN sg b USING (gene_id) GROUP BY 1, 2")
+def gram(s, d):
+    x = np.array([r.x for r in _sig(s, d).orderBy("gene_id").collect()])  # genes by types: one reference's signatures
+    g = sketch.gram(x.T)
+    k = range(len(g))
+    return s.createDataFrame([(f"type_{i}", f"type_{j}", round(float(g[i, j]), 4)) for i in k for j in k], "type1 string, type2 string, value double")
+
+
 @_add("rmse", f"WITH {_SH} SELECT cell_type, round(sqrt(avg((pred - true_) * (pred - true_))), 6) AS rmse FROM d GROUP BY 1")
 def rmse(s, d):
     return metrics.rmse(_shares(s, d), True).withColumn("rmse", _r("rmse"))
@@ -329,9 +462,17 @@ def jsd(s, d):
     return metrics.jsd(_shares(s, d)).withColumn("jsd", _r("jsd", 8))
 
 
-@_add("evaluate")
+_EVALUATED = _SHR + f"""{_RANK.format(x='', p='', y='').replace('k AS (SELECT cell_type, ', 'ko AS (SELECT cell_type, pred, true_, ')}{_RANK.format(x='', p='PARTITION BY cell_type ', y='cell_type, ').replace('k AS (SELECT cell_type, ', 'kt AS (SELECT cell_type, pred, true_, ')},
+ js AS (SELECT spot_id, greatest(1e-10, least(1 - 1e-10, round(pred, 9))) AS p, greatest(1e-10, least(1 - 1e-10, round(true_, 9))) AS q FROM d), jm AS (SELECT spot_id, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM js WINDOW w AS (PARTITION BY spot_id)),
+ jd AS (SELECT sum(p * ln(p / ((p + q) / 2))) / 2 + sum(q * ln(q / ((p + q) / 2))) / 2 AS jsd FROM jm GROUP BY spot_id),
+ m AS (SELECT 'overall' AS scope, CAST(NULL AS VARCHAR) AS cell_type, sqrt(avg((pred - true_) * (pred - true_))) AS rmse, avg(abs(pred - true_)) AS mae, {_CORR.format(a='pred', b='true_')} AS pearson, {_CORR.format(a='a', b='b')} AS spearman, (SELECT avg(jsd) FROM jd) AS jsd, CAST(NULL AS DOUBLE) AS mean_true, CAST(NULL AS DOUBLE) AS mean_pred FROM ko
+  UNION ALL SELECT 'per_cell_type', cell_type, sqrt(avg((pred - true_) * (pred - true_))), avg(abs(pred - true_)), {_CORR.format(a='pred', b='true_')}, {_CORR.format(a='a', b='b')}, NULL, avg(true_), avg(pred) FROM kt GROUP BY cell_type)
+ SELECT scope, cell_type, metric, round(value, 6) AS value FROM m UNPIVOT (value FOR metric IN (rmse, mae, pearson, spearman, jsd, mean_true, mean_pred))"""
+
+
+@_add("evaluate", f"WITH {_EVALUATED}")
 def evaluate(s, d):
-    return metrics.evaluate(_shares(s, d)).withColumn("value", _r("value"))
+    return metrics.evaluate(_rounded(s, d)).withColumn("value", _r("value"))
 
 
 @_add("rare_detection", f"WITH {_SH}, n AS (SELECT count(CASE WHEN true_ > 0 AND true_ < 0.26 AND pred > 0.13 THEN 1 END) AS tp, count(CASE WHEN true_ > 0 AND true_ < 0.26 AND NOT pred > 0.13 THEN 1 END) AS fn, count(CASE WHEN true_ = 0 AND pred > 0.13 THEN 1 END) AS fp FROM d), x AS (SELECT tp / (tp + fp + 1e-10) AS p, tp / (tp + fn + 1e-10) AS r, tp + fn AS n FROM n) SELECT round(CASE WHEN n = 0 THEN -1 ELSE p END, 6) AS precision, round(CASE WHEN n = 0 THEN -1 ELSE r END, 6) AS recall, round(CASE WHEN n = 0 THEN -1 ELSE 2 * p * r / (p + r + 1e-10) END, 6) AS f1 FROM x")
@@ -342,7 +483,8 @@ def rare_detection(s, d):
 
 @_add("bin_aggregate", f"WITH {_C}, sp AS (SELECT s_suppkey AS id, s_suppkey % 10 AS x, s_suppkey // 10 AS y FROM supplier), b AS (SELECT id, x, y, (x - (SELECT min(x) FROM sp)) // 2 || '_' || (y - (SELECT min(y) FROM sp)) // 2 AS bin_id FROM sp) SELECT bin_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n_spots FROM b GROUP BY 1")
 def bin_aggregate(s, d):
-    return binning.binned_spots(binning.aggregate_bins(_spots(s, d), 2.0)).select("bin_id", _r("x").alias("x"), _r("y").alias("y"), "n_spots")
+    # Suppliers lie one apart: bins of 16 for spots of 8 are two wide.
+    return binning.binned_spots(binning.bins_of_size(_spots(s, d), 16)).select("bin_id", _r("x").alias("x"), _r("y").alias("y"), "n_spots")
 
 
 @_add("bin_counts", f"WITH {_C}, sp AS (SELECT s_suppkey AS id, s_suppkey % 10 AS x, s_suppkey // 10 AS y FROM supplier), b AS (SELECT id, (x - (SELECT min(x) FROM sp)) // 2 || '_' || (y - (SELECT min(y) FROM sp)) // 2 AS bin_id FROM sp) SELECT bin_id, gene_id, sum(value) AS value FROM c JOIN b ON id = spot_id GROUP BY 1, 2")
@@ -427,17 +569,15 @@ def region_means(s, d):
     return qc.region_means(_prop(s, d), regions).withColumn("mean_proportion", _r("mean_proportion"))
 
 
-@_add("marker_correlation", f"WITH {_C}, {_SH}, m AS (SELECT p_partkey AS gene_id FROM part WHERE p_partkey <= 20), x AS (SELECT d.cell_type, m.gene_id, coalesce(c.value, 0) AS v, d.pred FROM d CROSS JOIN m LEFT JOIN c ON c.spot_id = d.spot_id AND c.gene_id = m.gene_id) SELECT cell_type, gene_id, round({_CORR.format(a='v', b='pred')}, 6) AS r FROM x GROUP BY 1, 2")
-def marker_correlation(s, d):
-    types = s.createDataFrame([("A",), ("N",), ("R",)], "cell_type string")
-    markers = _genes(s, d).where("gene_id <= 20").select("gene_id", F.explode(F.array(*[F.lit(t) for t in "ANR"])).alias("cell_type")).join(types, "cell_type", "left_semi")
-    return qc.marker_correlation(_counts(s, d), _prop(s, d), markers).withColumn("r", _r("r"))
+_MARKED = _C + ", " + _SH + """, n AS (SELECT cell_type, count(*) AS n, avg(pred) AS my, var_pop(pred) AS vy, max(pred) = min(pred) AS flat FROM d GROUP BY 1),
+ z AS (SELECT d.cell_type, gene_id, count(*) AS k, sum(value) AS s, sum(value * value) AS q, sum(value * (pred - my)) AS c, max(value) = min(value) AS same, max(CASE WHEN value = 0 THEN 1 ELSE 0 END) = 1 AS zeros FROM c JOIN d USING (spot_id) JOIN n ON n.cell_type = d.cell_type GROUP BY 1, 2)"""
 
 
-@_add("marker_correlation_all")
-def marker_correlation_all(s, d):
-    """Every gene with every type; marker_correlation has the genes of its SQL only."""
-    return qc.gene_correlation(_counts(s, d), _prop(s, d), _genes(s, d)).withColumn("r", _r("r"))
+@_add("marker_correlation", f"WITH {_MARKED} SELECT n.cell_type, p_partkey AS gene_id, round(CASE WHEN k IS NULL OR flat OR (same AND (k = n OR zeros)) THEN 0 ELSE coalesce(c / n / nullif(sqrt(greatest(q / n - (s / n) * (s / n), 0) * vy), 0), 0) END, 6) AS r FROM part CROSS JOIN n LEFT JOIN z ON z.cell_type = n.cell_type AND z.gene_id = p_partkey")
+def marker_correlation(s, d):
+    """Every gene with every type."""
+    every = _genes(s, d).select("gene_id", F.explode(F.array(*[F.lit(t) for t in "ANR"])).alias("cell_type"))
+    return qc.marker_correlation(_counts(s, d), _prop(s, d), every).withColumn("r", _r("r"))
 
 
 @_add("coherence", f"WITH {_LAT}, {_SH} SELECT a.cell_type, round({_CORR.format(a='a.pred', b='b.pred')}, 6) AS coherence FROM ed JOIN d a ON a.spot_id = i JOIN d b ON b.spot_id = j AND a.cell_type = b.cell_type GROUP BY 1")
@@ -463,7 +603,7 @@ def solver_sweep(s, d):
 
 @_add("multiscale")
 def multiscale_bins(s, d):
-    return multiscale(_ref(s, d).withColumnRenamed("cell_id", "spot_id"), _sig(s, d), _points(s, d), [f"type_{i}" for i in range(10)], WIDTHS, n_hvg=0, n_markers_per_type=20, sketch_dim=64).withColumn("proportion", _r("proportion", 4))
+    return multiscale(_ref(s, d).withColumnRenamed("cell_id", "spot_id"), _sig(s, d), _points(s, d), [f"type_{i}" for i in range(10)], n_hvg=0, n_markers_per_type=20, sketch_dim=64).withColumn("proportion", _r("proportion", 4))
 
 
 @_add("language_mixture")

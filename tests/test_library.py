@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mixspark.operators import binning, features, graph, metrics, qc, sketch, solver
 from mixspark.plans import queries
-from mixspark.plans.deconvolve import Deconvolution, multiscale
+from mixspark import Deconvolution, deconvolve, multiscale
 from mixspark.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["ref_mean", "align_genes", "hvg_bins", "markers_diff", "knn_graph", "grid_graph", "laplacian_norm", "spearman", "jsd", "sig_corr", "strict_annotation", "bin_counts"])
+@pytest.mark.parametrize("name", ["ref_mean", "align_genes", "hvg_bins", "markers_diff", "knn_graph", "grid_graph", "laplacian_norm", "spearman", "jsd", "sig_corr", "strict_annotation", "bin_counts", "evaluate", "sweep", "objective", "gram", "informative_genes", "prepare_data", "prepare_signatures", "result_table", "marker_correlation", "spearman_overall"])
 def test_against_sql(spark, duck, name):
     got, want = queries.Q[name](spark, DATA).toPandas(), duck.sql(queries.SQL[name]).df()
     cols = sorted(want.columns)
@@ -137,35 +137,139 @@ def test_unfitted_and_missing_inputs(spark):
 
 
 def test_sink(spark, tmp_path):
-    beta = spark.createDataFrame([(0, [0.2, 0.8])], "spot_id bigint, p array<double>")
-    long = tables.long_proportions(beta)
-    tables.write_results(long, str(tmp_path / "out"), ["CellType_0", "CellType_1"])
-    assert spark.read.parquet(str(tmp_path / "out")).first().dominant == "CellType_1"
-
-
-def test_multiscale_compares_widths(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(queries, "multiscale", lambda counts, sig, spots, types, widths, **params: seen.update(widths=widths, **params) or spark.range(1).select(F.lit(1.0).alias("proportion")))
-    queries.Q["multiscale"](spark, DATA)
-    points = queries._points(spark, DATA)
-    bins = [binning.aggregate_bins(points, w).select("bin_id").distinct().count() for w in seen["widths"]]
-    assert len(bins) >= 4 and bins == sorted(bins, reverse=True) and len(set(bins)) == len(bins) and bins[-1] > 1
-    assert "max_iter" not in seen and "tol" not in seen
+    beta = spark.createDataFrame([(0, [0.2, 0.8]), (1, [0.5, 0.5])], "spot_id bigint, p array<double>")
+    spots = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "spot_id bigint, coords array<double>")
+    tables.write_results(beta, spots, str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("spot_id").collect()
+    assert [r.dominant for r in rows] == ["CellType_1", "CellType_0"] and (rows[1].x, rows[1].y) == (3.0, 4.0)
+    tables.write_results(beta, spots, str(tmp_path / "csv"), ["Neuron", "Glia"], "csv")
+    rows = spark.read.option("header", True).csv(str(tmp_path / "csv")).orderBy("spot_id").collect()
+    assert rows[0].Glia == "0.8" and rows[0].dominant == "Glia" and rows[0].y == "2.0"
+    ragged = beta.where("spot_id = 0").unionByName(spark.createDataFrame([(1, [1.0])], beta.schema))
+    for wrong in ((beta, spots, ["a"]), (beta, spots.where("spot_id = 0"), None), (beta.where("spot_id = 0"), spots, None), (ragged, spots, None)):
+        with pytest.raises(ValueError):
+            tables.result_table(*wrong)
+
+
+def test_alignment_by_names(spark):
+    """The one call on sides whose ids and orders of genes differ, with repeated and foreign names."""
+    counts, sig, spots, _ = _problem(spark, n=24)
+    ref = sig.select(F.col("gene_id"), F.posexplode("x").alias("cell_id", "value")).select(F.col("cell_id").cast("long").alias("cell_id"), "gene_id", "value")
+    cells = spark.createDataFrame([(i, t) for i, t in enumerate("abcd")], "cell_id bigint, cell_type string")
+    names = [f"g{i:02}" for i in range(40)]
+    left = spark.createDataFrame([*enumerate(names), (90, "g03"), (91, "only here")], "gene_id bigint, gene string")
+    right = spark.createDataFrame([*((39 - i, n) for i, n in enumerate(names)), (95, "only there")], "gene_id bigint, gene string")
+    params = {"n_hvg": 0, "n_markers_per_type": 10, "sketch_dim": 64, "spatial_method": "grid", "max_iter": 3}
+    got = deconvolve(counts, ref.withColumn("gene_id", 39 - F.col("gene_id")), cells, spots, left, right, **params)
+    want = deconvolve(counts, ref, cells, spots, **params)
+    key = ["spot_id", "cell_type"]
+    p, q = (m.get_cell_type_proportions().toPandas().sort_values(key).proportion.to_numpy() for m in (got, want))
+    assert np.allclose(p, q)
+    assert set(got.parameters()) == {"sketch_dim", "lambda_spatial", "rho_sparsity", "n_hvg", "n_markers_per_type", "spatial_method", "k_neighbors", "radius", "preprocess", "n_genes_used", "n_cell_types", "cell_type_names", "random_state", "converged", "n_iterations"}
+    assert got.parameters()["lambda_spatial"] == got.lambda_used_ and got.parameters()["cell_type_names"] == list("abcd")
+    with pytest.raises(ValueError):
+        deconvolve(counts, ref, cells, spots, left, right.where("gene = 'only there'"), **params)
+    with pytest.raises(ValueError):
+        deconvolve(counts, ref, cells, spots, left, **params)
+    with pytest.raises(ValueError):
+        deconvolve(counts, ref.withColumn("gene_id", F.col("gene_id") + 1000), cells, spots, **params)
+
+
+def test_mixed_coordinates_are_refused(spark):
+    for rows in ([(0, [1.0, 2.0]), (1, [1.0])], [(0, [1.0]), (1, None)], [(0, [])]):
+        with pytest.raises(ValueError):
+            graph.knn_graph(spark.createDataFrame(rows, "spot_id bigint, coords array<double>"), 1)
+
+
+def test_neighbours_with_an_outlier_and_a_crowd(spark):
+    """One point far out, a dense cluster, many points at one place: the neighbours are the right ones, and no cell holds most points."""
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.random((2500, 2)), 0.5 + 1e-4 * rng.random((1000, 2)), np.full((600, 2), 0.25), [[1e6, -1e6]]])
+    spots = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(xy)], "spot_id bigint, coords array<double>").repartition(4)
+    got = graph.nearest(spots, 4).toPandas().sort_values(["i", "r"])
+    d = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.array([np.lexsort((np.arange(len(xy)), row))[:4] for row in d])
+    assert (got.j.to_numpy().reshape(-1, 4) == want).all()
+    near = graph.cut(spots.where("spot_id < 3500 OR spot_id = 4100"))
+    radius = graph._first_radius(near, 4, 4101, 2)
+    assert near.groupBy(*graph._cell(radius, 2)).count().agg(F.max("count")).first()[0] <= graph.MOST * 5
+
+
+def test_gene_selection_by_the_rule(spark):
+    """Libraries below 1 count as 1; without two different positive means there are no bins."""
+    y = np.array([[0.2, 0.1, 0.0, 0.3], [0.0, 3.0, 2.0, 0.0], [0.1, 0.0, 0.0, 0.0]])
+    counts = spark.createDataFrame([(i, j, float(y[i, j])) for i in range(3) for j in range(4) if y[i, j]], "spot_id bigint, gene_id bigint, value double")
+    genes = spark.range(4).withColumnRenamed("id", "gene_id")
+    log = np.log1p(1e4 * y / np.maximum(y.sum(1, keepdims=True), 1))
+    got = features.gene_moments(counts, genes, 3).orderBy("gene_id").toPandas()
+    assert np.allclose(got["mean"], log.mean(0)) and np.allclose(got["var"], log.var(0, ddof=1))
+    for means in ([(0, 0.0, 1.0), (1, 0.0, 2.0)], [(0, 0.0, 1.0), (1, 2.0, 2.0), (2, 0.0, 5.0)], [(0, 2.0, 1.0), (1, 2.0, 7.0)]):
+        one = features.dispersions(spark.createDataFrame(means, "gene_id bigint, mean double, var double")).collect()
+        assert {(r.bin, r.disp) for r in one} == {(0, 0.0)}
+    with pytest.raises(ValueError):
+        features.normalise_signatures(spark.createDataFrame([(0, [1.0])], "gene_id bigint, x array<double>"), "cpm")
+
+
+@pytest.mark.parametrize(("per_tile", "depth"), [(1000, 8), (60, 2), (40, 8), (None, 3)])
+def test_tiles_and_depth_leave_the_result(spark, per_tile, depth):
+    rng = np.random.default_rng(2)
+    n, k = 300, 3
+    a, hh, xy = rng.normal(size=(k, 9)), rng.random((n, k)) * 4, rng.random((n, 2))
+    gram = a @ a.T
+    spots = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(xy)], "spot_id bigint, coords array<double>")
+    h = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(hh)], "spot_id bigint, h array<double>")
+    edges = graph.cut(graph.radius_graph(spots, 0.07))  # some points have no neighbours
+    e = np.array([(r.i, r.j) for r in edges.collect()])
+    adjacent = np.zeros((n, n))
+    adjacent[e[:, 0], e[:, 1]] = 1
+    b, done, change, rho = np.full((n, k), 1 / k), 0, 1.0, 0.01 * np.mean(np.diag(gram))
+    while change >= 1e-4:
+        new = solver.update(hh, b, adjacent @ b, adjacent.sum(1), gram, 0.5, rho)
+        change, b, done = np.abs(new - b).max() / (np.abs(b).max() + 1e-10), new, done + 1
+    tiles = solver.spatial_tiles(spots, per_tile) if per_tile else spots.select("spot_id", (F.col("spot_id") % 4).cast("int").alias("tile"))
+    state, info = solver.solve(h, edges, gram, 0.5, 0.01, tiles=tiles, depth=depth, every=5, y2=50.0)
+    assert np.allclose([r.b for r in state.orderBy("spot_id").collect()], b, atol=1e-12)
+    assert info.converged and info.n_iterations == done and info.final_change == pytest.approx(change)
+    whole = 0.5 * (50 - 2 * (b * hh).sum() + ((b.T @ b) * gram).sum()) + 0.25 * ((b[e[:, 0]] - b[e[:, 1]]) ** 2).sum() / 2 + rho * b.sum()
+    assert info.final_objective == pytest.approx(whole, rel=1e-9) and len(info.objectives) == done // 5
+
+
+def test_soft_threshold():
+    assert [float(solver.soft_threshold(x, 2)) for x in (5, -5, 1)] == [3, -3, 0]
+
+
+def test_ranks_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=4000), 2)
+    df = spark.createDataFrame([(float(x),) for x in v], "pred double").repartition(4)
+    got = {r._v: r._r for r in metrics._mean_ranks(df, "pred").collect()}
+    order = np.sort(v)
+    assert all(got[x] == (np.searchsorted(order, x) + np.searchsorted(order, x, "right") + 1) / 2 for x in set(v.tolist()))
 
 
 def test_multiscale_fits_the_sums_of_bins(spark):
     counts, sig, spots, _ = _problem(spark, n=24)
     params = {"n_hvg": 0, "n_markers_per_type": 10, "sketch_dim": 64, "spatial_method": "grid", "max_iter": 3}
-    got = multiscale(counts, sig, spots, list("abcd"), [1.5, 4.0], **params).toPandas()
-    # Columns 0 to 7 and rows 0 to 2: 1.5 makes five bins by two, 4.0 two by one.
-    assert {w: g.spot_id.nunique() for w, g in got.groupby("bin_size")} == {1.5: 10, 4.0: 2}
+    got = multiscale(counts, sig, spots, list("abcd"), [8, 16, 32], **params).toPandas()
+    # Spots lie one apart: 8 to a row, 3 rows. Bins of 16 are two wide, of 32 four.
+    assert {w: g.spot_id.nunique() for w, g in got.groupby("bin_size")} == {8: 24, 16: 8, 32: 2}
     assert np.allclose(got.groupby(["bin_size", "spot_id"]).proportion.sum(), 1)
-    half = F.floor(F.col("spot_id") % 8 / 4) * 1_000_000
+    half = F.floor(F.col("spot_id") % 8 / 4)
     summed = counts.groupBy(half.alias("spot_id"), "gene_id").agg(F.sum("value").alias("value"))
-    at = spark.createDataFrame([(0, [1.5, 1.0]), (1_000_000, [5.5, 1.0])], "spot_id bigint, coords array<double>")
+    at = spark.createDataFrame([(0, [1.5, 1.0]), (1, [5.5, 1.0])], "spot_id bigint, coords array<double>")
     want = Deconvolution(**params).fit(summed, sig, at, list("abcd")).get_cell_type_proportions().toPandas()
     key = ["spot_id", "cell_type"]
-    assert np.allclose(got[got.bin_size == 4.0].sort_values(key).proportion, want.sort_values(key).proportion)
+    assert np.allclose(got[got.bin_size == 32].sort_values(key).proportion, want.sort_values(key).proportion)
+
+
+def test_bins_have_different_numbers(spark):
+    spots = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 1_000_000.0]), (2, [1.0, 0.0]), (3, [0.4, 0.4]), (4, [1.0, 1_000_000.0])], "spot_id bigint, coords array<double>")
+    for width, want in ((1.0, 4), (0.5, 4), (0.25, 5)):
+        assert binning.numbered(binning.aggregate_bins(spots, width)).select("bin").distinct().count() == want
+    with pytest.raises(ValueError):
+        binning.numbered(binning.aggregate_bins(spots, 1e-13))
+    assert binning.spacing(spots.where("spot_id = 0")) == 0.0
 
 
 @pytest.mark.parametrize("name", ["deconvolve", "solver_sweep"])
@@ -187,7 +291,7 @@ def test_registered_fits_run_to_the_default_end(spark, monkeypatch, name):
 
 
 def test_marker_correlation_of_every_gene(spark):
-    got = queries.Q["marker_correlation_all"](spark, DATA).toPandas().set_index(["cell_type", "gene_id"]).r
+    got = queries.Q["marker_correlation"](spark, DATA).toPandas().set_index(["cell_type", "gene_id"]).r
     counts = queries._counts(spark, DATA).toPandas().pivot(index="spot_id", columns="gene_id", values="value").fillna(0.0)
     shares = queries._prop(spark, DATA).toPandas()
     genes = [r[0] for r in queries._genes(spark, DATA).collect()]
