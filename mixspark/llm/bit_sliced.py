@@ -6,13 +6,18 @@ the block's rows. A query adds the bitmaps its own digits select (complements fo
 negative weights), column by column of equal significance, with carry-save adders;
 what results are the bitmaps of the score's digits. From the most significant one
 downward rows are kept or put off until k are left, and rows that tie at the boundary
-are resolved by their ids. Blocks and chunks of queries meet in tiles; the best k of
-all tiles of a query are its answer.
+are resolved by their ids. The best k of all blocks are a query's answer.
+
+Blocks and large chunks of queries meet in tiles; both travel as small integers, and a
+block's bitmaps are built once for a tile. A query takes along a score that k rows of
+a bounded sample reach: a block whose extremes can't give as much is passed over, and rows
+below it aren't returned.
 
 Defined results: vectors that are null or have a null or non-finite component, and rows
 with a null id, take no part. Rows of one id are one vector (the one least in array
 order). Queries meet vectors of their own length only. Empty vectors take no part.
-Scores must fit into 64 bits. Other columns are ignored, whatever their names.
+Components so large that a score might not fit into 63 bits are an error. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 
 from mixspark.llm.common import table
 
-#: Rows of a block and queries of a chunk, about.
-BLOCK, CHUNK = 8192, 256
+#: Rows of a block and queries of a chunk, about, and rows of the sample that gives scores to reach.
+BLOCK, CHUNK, SAMPLE = 8192, 16_384, 1024
 
 
 def usable(vector: Column) -> Column:
@@ -54,6 +59,11 @@ class Slices:
         packed = np.packbits(rows, axis=1, bitorder="little")
         return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, words * 8 - packed.shape[1])))).view(np.uint64)
 
+    def bound(self, queries: np.ndarray) -> np.ndarray:
+        """What no row's score exceeds, for each query: from the extremes of every component."""
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        return up @ self.values.max(0) + down @ self.least
+
     def digits(self, query: np.ndarray) -> list[np.ndarray]:
         """Bitmaps of the digits of every row's score, up to a constant, least significant first."""
         size, negative = np.abs(query).astype(np.uint64), (query < 0).astype(np.int64)
@@ -111,24 +121,54 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select("_id", F.transform("_v", lambda x: F.floor(x.cast("double") * 64).cast("long")).alias("_v"))
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Integers in as few bytes each as all of them need, behind that number."""
+    kind = np.result_type(np.min_scalar_type(values.min(initial=0)), np.min_scalar_type(-1 - values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(f"<i{kind.itemsize}").tobytes()
+
+
+def _wide(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64).reshape(-1, dim)
+
+
+def _reached(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that k others of the sample reach; the least of all where there are fewer."""
+    least = np.full(len(queries), np.iinfo(np.int64).min)
+    if len(ids) <= k:
+        return least
+    for at in range(0, len(queries), 1024):
+        score = queries[at : at + 1024] @ sample.T
+        score[own[at : at + 1024, None] == ids[None]] = np.iinfo(np.int64).min
+        least[at : at + 1024] = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+    return least
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products of every query, a row for which is_query holds."""
     rows = quantised(vectors, id_col, vector_col)
     queries = quantised(vectors.where(is_query), id_col, vector_col)
-    n, m = vectors.count(), vectors.where(is_query).count()
-    blocks, chunks = max(1, math.ceil(n / block)), max(1, math.ceil(m / chunk))
-
-    def grouped(df: DataFrame, name: str, parts: int, seed: int) -> DataFrame:
+    n, most, size = rows.agg(F.count("*"), F.max(F.array_max(F.transform("_v", lambda x: F.abs(x.cast("double"))))), F.max(F.size("_v"))).first()
+    if n and float(most) ** 2 * size >= 2.0**62:
+        raise ValueError("scores of such large components may not fit into 63 bits")
+    blocks, chunks = max(1, math.ceil(n / block)), max(1, math.ceil(queries.count() / chunk))
+    some = rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect()
+    samples = {d: (np.array([r._v for r in some if len(r._v) == d], np.int64), np.array([r._id for r in some if len(r._v) == d], np.int64)) for d in {len(r._v) for r in some}}
+
+    def grouped(df: DataFrame, name: str, parts: int, seed: int, asks: bool) -> DataFrame:
         def run(key, t):
-            t = t.sort_by("_id")
-            values = np.array(t.column("_v").combine_chunks().flatten(), np.int64)
-            return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), name: pa.array([key[1].as_py()], pa.int32()), f"{name}_ids": [t.column("_id").to_numpy().astype(np.int64).tobytes()], f"{name}_values": [values.tobytes()]})
+            t, dim = t.sort_by("_id"), key[0].as_py()
+            values, ids = np.array(t.column("_v").combine_chunks().flatten(), np.int64).reshape(-1, dim), t.column("_id").to_numpy().astype(np.int64)
+            out = {"dim": pa.array([dim], pa.int32()), name: pa.array([key[1].as_py()], pa.int32()), f"{name}_ids": [ids.tobytes()], f"{name}_values": [_small(values)]}
+            if asks:
+                sample, known = samples.get(dim, (np.zeros((0, dim), np.int64), np.zeros(0, np.int64)))
+                out["reach"] = [_reached(values, ids, sample, known, k).tobytes()]
+            return pa.table(out)
 
         dealt = df.select(F.size("_v").alias("dim"), F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(parts)).cast("int").alias(name), "_id", "_v")
-        return dealt.groupBy("dim", name).applyInArrow(run, f"dim int, {name} int, {name}_ids binary, {name}_values binary")
+        return dealt.groupBy("dim", name).applyInArrow(run, f"dim int, {name} int, {name}_ids binary, {name}_values binary" + ", reach binary" * asks)
 
-    left = grouped(rows, "b", blocks, 1).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = grouped(queries, "c", chunks, 2).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = grouped(rows, "b", blocks, 1, False).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = grouped(queries, "c", chunks, 2, True).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     tiles = left.join(right.hint("shuffle_merge"), ["dim", "b", "c"])
 
     def search(batches):
@@ -136,15 +176,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         for batch in batches:
             for r in batch.to_pylist():
                 dim = r["dim"]
-                if (r["dim"], r["b"]) != last:
-                    last = r["dim"], r["b"]
-                    slices, ids = Slices(np.frombuffer(r["b_values"], np.int64).reshape(-1, dim)), np.frombuffer(r["b_ids"], np.int64)
-                out = [], [], []
-                for q, v in zip(np.frombuffer(r["c_ids"], np.int64).tolist(), np.frombuffer(r["c_values"], np.int64).reshape(-1, dim), strict=True):
-                    found, score = slices.top(v, k, ids, q)
-                    out[0].append(np.full(len(found), q))
-                    out[1].append(ids[found])
-                    out[2].append(score)
+                if (dim, r["b"]) != last:
+                    last = dim, r["b"]
+                    slices, ids = Slices(_wide(r["b_values"], dim)), np.frombuffer(r["b_ids"], np.int64)
+                asking, own, reach = _wide(r["c_values"], dim), np.frombuffer(r["c_ids"], np.int64), np.frombuffer(r["reach"], np.int64)
+                out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for q in np.flatnonzero(slices.bound(asking) >= reach).tolist():
+                    found, score = slices.top(asking[q], k, ids, own[q])
+                    use = score >= reach[q]
+                    out[0].append(np.full(use.sum(), own[q]))
+                    out[1].append(ids[found[use]])
+                    out[2].append(score[use])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -305,6 +305,25 @@ def test_bit_sliced_is_exact(spark):
         keep = ids != i
         order = np.lexsort((ids[keep], -s[keep]))[:7]
         assert [mine[r + 1] for r in range(7)] == [(ids[keep][o], s[keep][o]) for o in order]
+    # Vectors of other lengths meet their like; empty ones take no part; what might not fit is refused.
+    mixed = spark.createDataFrame([(i, [float(i % 7), -0.5, 0.25][: 1 + i % 3], 0) for i in range(1000, 1090)] + [(2000, [], 0)], df.schema)
+    short = {i: [math.floor(64 * x) for x in [float(i % 7), -0.5, 0.25][: 1 + i % 3]] for i in range(1000, 1090)}
+    both = bit_sliced.top_k(df.unionByName(mixed), F.col("vec_id") % 20 == 0, 7, block=128, chunk=6).where("query_id >= 1000").collect()
+    for i in range(1000, 1090, 20):
+        want = sorted((-sum(a * b for a, b in zip(short[i], v, strict=True)), j) for j, v in short.items() if j != i and len(v) == len(short[i]))[:7]
+        assert [(-r.score, r.vec_id) for r in sorted(both, key=lambda r: r["rank"]) if r.query_id == i] == want
+    assert {r.query_id for r in both} == set(range(1000, 1090, 20))
+    # Clusters far apart: blocks that can't reach the sample's scores are passed over, and the result stays.
+    rng = np.random.default_rng(6)
+    far = np.repeat(np.eye(4) * 8, 300, 0) + rng.normal(size=(1200, 4)) * 0.2
+    got = bit_sliced.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(far)], "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, 5, block=100).toPandas()
+    whole = np.floor(64 * far).astype(int)
+    for i, g in got.groupby("query_id"):
+        s = whole @ whole[i]
+        s[i] = -(10**9)
+        assert g.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(1200), -s))[:5].tolist()
+    with pytest.raises(ValueError):
+        bit_sliced.top_k(spark.createDataFrame([(0, [1e9, 1.0]), (20, [1.0, 1.0])], "vec_id bigint, embedding array<double>"), F.lit(True))
     few = bit_sliced.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0, 7)
     assert few.count() == 2 and bit_sliced.top_k(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
