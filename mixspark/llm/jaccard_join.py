@@ -1,25 +1,32 @@
 """Exact Jaccard join of sets of word n-grams that uses relations between the sets.
 
 1. Texts with one and the same set are one class; its least id stands for it.
-2. Answers from similar sets: each class is compared with one similar class (the least of
-   those with which it shares a minimum hash). Where they link, the links among the sets
-   of a cluster need no search any more: the cluster's answer holds for its sets.
+2. Each class is compared with one similar class (the least of those with which it shares a
+   minimum hash). Where they link, they are of one cluster, whose least id leads it. A
+   set of a cluster is known by its differences from the lead's: the n-grams it lacks and
+   those it has beside. The answers of its sets among each other are derived from these:
+   - sets of sizes x, y that differ from a lead of n by few n-grams link for certain, if
+     100 (lacking) + percent (beside) of both add up to no more than (100 - percent) n;
+     how many such partners a set has is read off the counts of these numbers;
+   - of the others the overlap is n less what either lacks, plus what both have beside.
+   So no set of a cluster searches for another, and none is read again.
 3. What is left are links between clusters. Every set posts its prefix: its rarest n-grams,
    by counts over all texts, so many that linked sets must share one. A list of the index is
    made of blocks, one for each cluster; within a list, blocks of one cluster are skipped,
    and so are pairs of blocks whose sizes or positions leave too small an overlap, before
    pairs of entries are looked at. The remaining pairs are compared whole.
 
-links() returns all links between classes instead, within clusters too; similar() only needs
-the components, which the links within a cluster don't change.
+similar() returns a row for each document, with its component, its class and the number of its
+links; links() the links themselves, between representatives of classes, and who is in a class.
 
 Nothing is capped: any link between different clusters is found, as an n-gram that both
-prefixes share puts the pair in one list.
+prefixes share puts the pair in one list, and within a cluster every pair is decided.
 
 Defined results: null and empty texts, and those of white space only, have an empty set and
 are linked with nothing. Rows of one id are one document, linked with whatever any of its
-texts is linked with. Rows with a null id are returned with a null component. Other columns
-are ignored, whatever their names.
+texts is linked with; if these have several sets, n_links is that of the class with the least
+id. Rows with a null id are returned with a null component and count for nobody's links. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ from mixspark.llm.text import mix, pieces, split
 RANGE, POSTED = 16 << 20, 8 << 20
 #: Ranges that are posted to at most, as a power of two; beyond it bundles of postings are cut into finer ones.
 COARSE = 12
+#: Sets of a lead's group that are compared with it in one task; sets of a chunk, whose pairs are decided together.
+MEMBERS, CHUNK = 512, 1024
 #: N-grams that are put in order by their frequency, the most frequent ones: a bound of what is broadcast.
 HEAVY = 200_000
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -264,18 +273,20 @@ def _differ(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked; texts: _id, _text.
-
-    Parity bitmaps, some thirty times smaller than the sets, first bound the difference of
-    each pair from below and rule out nearly all that aren't linked; whole sets decide the rest.
-    """
+def _bitmaps(percent: int):
+    """A set's size and parity bitmap, some thirty times smaller than the set, and a test that rules out nearly all pairs that aren't linked."""
 
     def few(x: bytes, y: bytes) -> bool:
         nx, ny = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
         need = -(-percent * (nx + ny) // (100 + percent))
         return _differ(np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)) <= nx + ny - 2 * need
 
+    return lambda keys: len(keys).to_bytes(8, "little") + _bitmap(keys), few
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked; texts: _id, _text. Bitmaps first bound the difference of each pair from below; whole sets decide the rest."""
+
     def equal(x: bytes, y: bytes) -> bool:
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         if not len(x) or not len(y):
@@ -283,7 +294,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
         return _linked(len(x), len(y), int((y[at] == x).sum()), percent)
 
-    maybe = _compared(pairs, texts, n, lambda keys: len(keys).to_bytes(8, "little") + _bitmap(keys), few)
+    maybe = _compared(pairs, texts, n, *_bitmaps(percent))
     return _compared(maybe, texts, n, lambda keys: keys.tobytes(), equal).distinct()
 
 
@@ -308,6 +319,148 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, form, test) -> DataFra
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+_DIFFERENCES = "a bigint, lead bigint, n bigint, lead_n bigint, lacks binary, beside binary"
+
+
+def _differences(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """For each pair (a, lead): the sizes of both sets, the n-grams of the lead's that a lacks, and those it has beside.
+
+    What belongs to one lead is dealt to many groups, each of which gets the lead's set once.
+    """
+    pairs = cut(pairs)
+    salts = cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("salts")))
+    ids = cut(pairs.select(F.col("a").alias("_id")).unionByName(salts.select(F.col("lead").alias("_id"))).distinct())
+
+    def sets(batches):
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                keys, at = shingle_sets(part.column("_text"), n)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "set"])
+
+    def compare(key, members, lead):
+        out = []
+        whole = [np.frombuffer(x, np.uint64) for x in lead.column("whole").to_pylist()]
+        # Rows that repeat an id and its text say the same.
+        for a, raw in dict(zip(members.column("a").to_pylist(), members.column("set").to_pylist(), strict=True)).items():
+            own, of = np.frombuffer(raw, np.uint64), whole[0]
+            out.append((a, key[0].as_py(), len(own), len(of), np.setdiff1d(of, own, True).tobytes(), np.setdiff1d(own, of, True).tobytes()))
+        return pa.table({c.split()[0]: pa.array(x, k) for c, x, k in zip(_DIFFERENCES.split(", "), list(zip(*out, strict=True)) or [[]] * 6, [*[pa.int64()] * 4, *[pa.binary()] * 2], strict=True)})
+
+    found = texts.join(small(ids, ids.count()), "_id").mapInArrow(sets, "id bigint, set binary")
+    k = salts.count()
+    dealt = pairs.join(small(salts, k), "lead").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int"))
+    members = dealt.join(found.withColumnRenamed("id", "a"), "a").select("lead", "salt", "a", "set")
+    leads = salts.join(found.select(F.col("id").alias("lead"), F.col("set").alias("whole")), "lead").select(F.col("lead").alias("of"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"), "whole")
+    return members.groupBy("lead", "salt").cogroup(leads.groupBy("of", "part")).applyInArrow(compare, _DIFFERENCES)
+
+
+def _far(percent: int):
+    """How far a set is from its lead: of two that add up to no more than (100 - percent) * lead_n the sets link."""
+    return 100 * F.octet_length("lacks") / 8 + percent * F.octet_length("beside") / 8
+
+
+_PLAN = "lead bigint, far bigint, certain bigint, chunk int, parts int"
+
+
+def _within(members: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """What is derived of the sets of one lead (members: a, lead, n, lead_n, lacks, beside, copies).
+
+    a, links: how many rows a set's own links within its cluster are, in parts to be added; with
+    `every` the pairs (a, b) that link instead, and no such numbers.
+    """
+    members = cut(members.withColumn("far", _far(percent).cast("long")))
+    counts = cut(members.groupBy("lead", "lead_n", "far").agg(F.count("*").alias("sets"), F.sum("copies").alias("rows")))
+
+    def chunks(t):
+        t = t.sort_by("far")
+        far, sets, rows = (t.column(c).to_numpy() for c in ("far", "sets", "rows"))
+        bound = (100 - percent) * int(t.column("lead_n")[0].as_py())
+        total = np.concatenate([[0], np.cumsum(rows)])
+        certain = total[np.searchsorted(far, bound - far, "right")]
+        # Small groups of sets that are equally far share a chunk, large ones are cut.
+        parts = -(-sets // CHUNK)
+        chunk, now, held = np.zeros(len(sets), np.int64), 0, 0
+        for k, (c, p) in enumerate(zip(sets.tolist(), parts.tolist(), strict=True)):
+            if held and held + c > CHUNK:
+                now, held = now + 1, 0
+            chunk[k], held = now, held + c
+            if p > 1:
+                now, held = now + p, 0
+        return far, chunk, parts, certain, bound
+
+    def plan(key, t):
+        far, chunk, parts, certain, _ = chunks(t)
+        lead = pa.array(np.full(len(far), key[0].as_py()))
+        return pa.table({"lead": lead, "far": pa.array(far), "certain": pa.array(certain), "chunk": pa.array(chunk, pa.int32()), "parts": pa.array(parts, pa.int32())})
+
+    def meetings(key, t):
+        far, chunk, parts, _, bound = chunks(t)
+        # The farthest of every chunk; chunks ascend.
+        most = np.repeat(far, parts)
+        number = np.repeat(chunk, parts) + np.arange(len(most)) - np.repeat(np.cumsum(parts) - parts, parts)
+        last = np.append(number[1:] != number[:-1], True)
+        most, number = most[last], number[last]
+        first = np.maximum(np.searchsorted(most, bound - most, "right"), np.arange(len(most))) if not every else np.arange(len(most))
+        x = np.repeat(np.arange(len(most)), len(most) - first)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(len(most) - first) - (len(most) - first), len(most) - first) + np.repeat(first, len(most) - first)
+        return pa.table({"lead": pa.array(np.full(len(x), key[0].as_py())), "x": pa.array(number[x], pa.int32()), "y": pa.array(number[y], pa.int32())})
+
+    planned = cut(counts.groupBy("lead").applyInArrow(plan, _PLAN))
+    meet = cut(counts.groupBy("lead").applyInArrow(meetings, "lead bigint, x int, y int"))
+    dealt = members.join(small(planned, planned.count()), ["lead", "far"]).withColumn("chunk", (F.col("chunk") + F.pmod(F.xxhash64("a"), "parts")).cast("int"))
+    bound = F.lit(100 - percent) * F.col("lead_n")
+    # What is certain counts the set itself where it is near enough.
+    certain = dealt.select("a", (F.col("certain") - F.when(2 * F.col("far") <= bound, F.col("copies")).otherwise(0)).alias("links"))
+    m = meet.count()
+    sides = [dealt.join(small(meet.withColumnRenamed(c, "chunk"), m), ["lead", "chunk"]).select("lead", *[F.col("chunk").alias(c) if c == z else F.col(z) for z in "xy"], F.lit(k).alias("side"), "a", "n", "lead_n", "lacks", "beside", "copies", "far") for k, c in enumerate("xy")]
+    together = sides[0].unionByName(sides[1].where("x <> y"))
+
+    def exact(key, t):
+        side = t.column("side").to_numpy()
+        left = t.filter(pa.array(side == 0)).sort_by("a")
+        right = left if key[1].as_py() == key[2].as_py() else t.filter(pa.array(side == 1)).sort_by("a")
+        whole = int(t.column("lead_n")[0].as_py())
+        number = [[s.column(c).to_numpy() for s in (left, right)] for c in ("a", "n", "copies", "far")]
+        (a, b), (na, nb), (ca, cb), (fa, fb) = number
+        both = _common(left.column("lacks").to_pylist(), right.column("lacks").to_pylist())
+        lacking = np.array([len(x) // 8 for x in left.column("lacks").to_pylist()])[:, None] + np.array([len(x) // 8 for x in right.column("lacks").to_pylist()])[None]
+        overlap = whole - (lacking - both) + _common(left.column("beside").to_pylist(), right.column("beside").to_pylist())
+        linked = 100 * overlap >= percent * (na[:, None] + nb[None] - overlap)
+        if left is right:
+            np.fill_diagonal(linked, False)
+        if every:
+            i, j = np.nonzero(np.triu(linked) if left is right else linked)
+            return pa.table({"a": pa.array(np.minimum(a[i], b[j])), "b": pa.array(np.maximum(a[i], b[j]))})
+        linked &= fa[:, None] + fb[None] > (100 - percent) * whole
+        out = [(a, linked @ cb)] + ([] if left is right else [(b, ca @ linked)])
+        return pa.table({"a": pa.array(np.concatenate([x for x, _ in out])), "b": pa.array(np.concatenate([y for _, y in out]).astype(np.int64))})
+
+    found = together.groupBy("lead", "x", "y").applyInArrow(exact, "a bigint, b bigint")
+    if every:
+        return found, None
+    return None, certain.unionByName(found.withColumnRenamed("b", "links"))
+
+
+def _common(x: list[bytes], y: list[bytes], most: int = 2048) -> np.ndarray:
+    """How many numbers each set of x has in common with each of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    keys = [np.frombuffer(b"".join(z), np.uint64) for z in (x, y)]
+    rows = [np.repeat(np.arange(len(z)), [len(v) // 8 for v in z]) for z in (x, y)]
+    shared = np.intersect1d(np.unique(keys[0]), np.unique(keys[1]), True)
+    at = [np.searchsorted(shared, k) for k in keys]
+    hit = [np.flatnonzero((p < len(shared)) & (shared[np.minimum(p, max(len(shared) - 1, 0))] == k)) if len(shared) else np.zeros(0, np.int64) for p, k in zip(at, keys, strict=True)]
+    for low in range(0, len(shared), most):
+        width = min(most, len(shared) - low)
+        marks = []
+        for r, p, h, z in zip(rows, at, hit, (x, y), strict=True):
+            use = h[(p[h] >= low) & (p[h] < low + width)]
+            mark = np.zeros((len(z), width), np.float32)
+            mark[r[use], p[use] - low] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    return out.astype(np.int64)
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, range_bytes: int, coarse: int):
     """texts, their sizes and sums, sets (a row for each class), shared (copies and their class's least id), an index."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -367,32 +520,58 @@ def _met(posting: DataFrame, index, n: int) -> DataFrame:
     return posted.groupBy(*by).applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct()
 
 
+def _clusters(texts: DataFrame, sets: DataFrame, shared: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """labels (id, component) of the classes that are in clusters, and members: these with their differences from their lead."""
+    # A class whose least id has other texts too can't be told by it: it is in no cluster.
+    several = sets.groupBy("rep").count().where("count > 1").select("rep").unionByName(shared.select(F.col("a").alias("rep")))
+    alone = sets.join(several, "rep", "left_anti")
+    minima = alone.select("rep", "n", F.posexplode("keys").alias("k", "key"))
+    lead = minima.groupBy("k", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    near = minima.join(lead, ["k", "key"]).where("rep <> lead.rep AND 100 * n >= {p} * lead.n AND 100 * lead.n >= {p} * n".format(p=percent))
+    near = near.groupBy(F.col("rep").alias("a")).agg(F.min("lead.rep").alias("b"))
+    maybe = _compared(near, texts, n, *_bitmaps(percent))
+    first = cut(_differences(maybe.select("a", F.col("b").alias("lead")).distinct(), texts, n))
+    overlap = F.col("lead_n") - F.octet_length("lacks") / 8
+    linked = first.where(100 * overlap >= percent * (F.col("n") + F.col("lead_n") - overlap))
+    labels = cut(components(linked.select("a", F.col("lead").alias("b"))))
+    # Those that were compared with their cluster's lead already, and the others.
+    own = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("lead"))
+    known = cut(linked.join(own, ["a", "lead"], "left_semi"))
+    others = cut(own.join(known.select("a"), "a", "left_anti"))
+    if not others.isEmpty():
+        known = known.unionByName(_differences(others, texts, n))
+    leads = known.groupBy("lead").agg(F.min("lead_n").alias("n"))
+    none = F.lit(b"")
+    members = known.unionByName(leads.select(F.col("lead").alias("a"), "lead", "n", F.col("n").alias("lead_n"), none.alias("lacks"), none.alias("beside")))
+    copies = alone.select(F.col("rep").alias("a"), "copies")
+    return labels, members.join(copies, "a")
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE, coarse: int = COARSE) -> DataFrame:
     """a, b, same: every link (a < b) between representatives of classes; where same, b is the class's least id and a another id in it.
 
     A document is linked with its class and with all members of the classes that its own links
-    to. Every class posts under its own label, so no block is skipped and no link derived: the
-    rows grow with the square of a group of different near copies, as the links do.
+    to. The rows grow with the square of a group of different near copies, as the links do.
     """
     texts, _, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes, coarse)
-    stands = sets.select(F.col("rep").alias("_id")).distinct()
-    posting = texts.where("_id IS NOT NULL").join(stands, "_id", "left_semi").select("_id", "_text", F.col("_id").alias("_label"))
-    found = verified(_met(posting, index, n), texts, n, percent).select("a", "b", F.lit(False).alias("same"))
+    labels, members = _clusters(texts, sets, shared, n, percent)
+    inside, _ = _within(members, percent, True)
+    stands = sets.select(F.col("rep").alias("_id")).distinct().join(labels.select(F.col("id").alias("_id"), F.col("component").alias("_label")), "_id", "left")
+    posting = texts.where("_id IS NOT NULL").join(stands, "_id").select("_id", "_text", F.coalesce("_label", "_id").alias("_label"))
+    across = verified(_met(posting, index, n), texts, n, percent)
     kind = docs.schema[id_col].dataType
-    return found.unionByName(shared.select("a", "b", F.lit(True).alias("same"))).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "same")
+    every = inside.unionByName(across.select("a", "b")).select("a", "b", F.lit(False).alias("same")).unionByName(shared.select("a", "b", F.lit(True).alias("same")))
+    return every.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "same")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE, coarse: int = COARSE) -> DataFrame:
-    """id_col, n_shingles, component_id, class_id (least id with the same set) of every row."""
+    """id_col, n_shingles, component_id, class_id (least id with the same set), n_links (rows it is linked with) of every row."""
     # 1. Classes of equal sets.
     texts, rows, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes, coarse)
 
-    # 2. Clusters of similar classes.
-    minima = sets.select("rep", "n", F.posexplode("keys").alias("k", "key"))
-    lead = minima.groupBy("k", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    near = minima.join(lead, ["k", "key"]).where("rep <> lead.rep AND 100 * n >= {p} * lead.n AND 100 * lead.n >= {p} * n".format(p=percent))
-    near = near.groupBy(F.col("rep").alias("a")).agg(F.min("lead.rep").alias("b"))
-    labels = components(verified(near, texts, n, percent))
+    # 2. Clusters of similar classes, and what is derived of their links.
+    labels, members = _clusters(texts, sets, shared, n, percent)
+    _, inside = _within(members, percent, False)
 
     # 3. Links between clusters. Copies of a class don't post; the others post under their cluster's label.
     copies = shared.select(F.col("a").alias("_id"), F.lit(None).cast("long").alias("_label"), F.lit(True).alias("_copy"))
@@ -401,7 +580,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     stands = sets.select(F.col("rep").alias("_id")).join(shared.select(F.col("a").alias("_id")), "_id", "left_semi")
     known = known.join(stands.withColumn("_stands", F.lit(True)), "_id", "left").withColumn("_copy", F.col("_copy") & F.col("_stands").isNull()).drop("_stands")
     posting = texts.where("_id IS NOT NULL").join(small(known, known.count()), "_id", "left").where("NOT coalesce(_copy, false)").select("_id", "_text", F.coalesce("_label", "_id").alias("_label"))
-    found = verified(_met(posting, index, n), texts, n, percent)
+    found = cut(verified(_met(posting, index, n), texts, n, percent))
     label = labels.select("id", "component")
     ends = found
     for c in ("a", "b"):
@@ -415,9 +594,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         several = several.join(label.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     joined = components(ends.select("a", "b").unionByName(several.select("a", "b")))
     final = known_component(shared, label, joined)
-    out = rows.select("id", "n").join(small(final, final.count()), "id", "left")
+
+    # Links of a class: its other rows, its cluster's, and the rows of the classes it was found to link with.
+    size = sets.groupBy(F.col("rep").alias("a")).agg(F.sum("copies").alias("copies"))
+    partners = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(size.withColumnRenamed("a", "b"), "b")
+    own = size.where("copies > 1").select("a", (F.col("copies") - 1).alias("links"))
+    total = own.unionByName(inside).unionByName(partners.select("a", F.col("copies").alias("links"))).groupBy(F.col("a").alias("_class")).agg(F.sum("links").alias("_links")).where("_links > 0")
+    total = cut(total)
+    out = rows.select("id", "n").join(small(final, final.count()), "id", "left").withColumn("_class", F.coalesce("class", "id"))
+    out = out.join(small(total, total.count()), "_class", "left")
     kind = docs.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"), F.coalesce("class", "id").cast(kind).alias("class_id"))
+    links_of = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("_links", F.lit(0))).otherwise(0).cast("long")
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"), F.col("_class").cast(kind).alias("class_id"), links_of.alias("n_links"))
 
 
 def known_component(shared: DataFrame, label: DataFrame, joined: DataFrame) -> DataFrame:
@@ -432,8 +620,8 @@ def known_component(shared: DataFrame, label: DataFrame, joined: DataFrame) -> D
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of every document's set of 5-word shingles, and the least id it is connected to by links of 0.75 or more."""
-    return similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    """Size of every document's set of 5-word shingles, the least id it is connected to by links of 0.75 or more, and how many links it has."""
+    return similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,9 +643,9 @@ WITH RECURSIVE w AS (
   SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.o >= 75 * (x.n + y.n - o.o)
 ), c(doc_id, r) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.doc_id
-), m AS (SELECT doc_id, min(r) AS r FROM c GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.r AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id
+), m AS (SELECT doc_id, min(r) AS r FROM c GROUP BY doc_id), k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.r AS component_id, CAST(coalesce(k.k, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id LEFT JOIN k ON k.a = d.doc_id
 """
 }
 QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op3_jaccard_links": op3_jaccard_links}

@@ -238,7 +238,7 @@ def brute_components(rows):
     for i, t in rows:
         w = words(t)
         sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
-    parent = {i: i for i, _ in sets}
+    parent, degree = {i: i for i, _ in sets}, [0] * len(sets)
 
     def root(i):
         while parent[i] != i:
@@ -246,11 +246,13 @@ def brute_components(rows):
         return i
 
     for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
+        for b, (j, y) in enumerate(sets[:a]):
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
                 p, q = sorted((root(i), root(j)))
                 parent[q] = p
-    return sorted((i, len(s), root(i)) for i, s in sets)
+                degree[a] += 1
+                degree[b] += 1
+    return sorted((i, len(s), root(i), d) for (i, s), d in zip(sets, degree, strict=True))
 
 
 def test_jaccard_join(spark, docs, odd, none):
@@ -264,13 +266,41 @@ def test_jaccard_join(spark, docs, odd, none):
         near.append((i, " ".join(w) if i % 2 else " ".join(base[:30] + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([5, 10, 60]))])))
     for df in (docs, odd.where("doc_id IS NOT NULL"), spark.createDataFrame(near, "doc_id bigint, text string")):
         for coarse in (12, 1):
-            got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar(df, range_bytes=20_000, coarse=coarse).collect())
+            got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.similar(df, range_bytes=20_000, coarse=coarse).collect())
             assert got == brute_components(texts(df))
     assert jaccard_join.similar(none).count() == 0
     alone = jaccard_join.similar(odd).where("doc_id IS NULL").collect()
     assert len(alone) == 1 and alone[0].component_id is None
 
 
+def test_links_within_a_cluster_are_derived(spark, monkeypatch):
+    """A crowd of sets at all distances from their lead, in several chunks, with copies: the same links and numbers as all pairs give."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 7)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 5)
+    rng, base = random.Random(7), [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 70):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randrange(8)):
+            w[k] = rng.choice([f"v{rng.randrange(4)}", f"own{i}"])
+        rows.append((i, " ".join(w[rng.randrange(6) :] + [f"end{rng.randrange(5)}"] * rng.randrange(4))))
+    rows += [(70 + i, rows[5 * i][1]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_components(texts(df))
+    assert len({d for *_, d in want}) > 15  # links are many, and not all alike
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.similar(df).collect()) == want
+    pairs = jaccard_join.links(df).collect()
+    rep = {r.a: r.b for r in pairs if r.same}
+    linked = {(r.a, r.b) for r in pairs if not r.same}
+    assert len(linked) == sum(not r.same for r in pairs)
+    degree = Counter()
+    for i, _ in rows:
+        for j, _ in rows:
+            a, b = sorted((rep.get(i, i), rep.get(j, j)))
+            degree[i] += i != j and (a == b or (a, b) in linked)
+    assert all(degree[i] == d for i, _, _, d in want)
+
+
 def test_repeated_id_links_its_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     df = spark.createDataFrame([(5, a), (5, b), (1, a), (3, b), (9, "c")], "doc_id bigint, text string")
@@ -426,7 +456,7 @@ def test_pipeline(spark):
         after = spark.createDataFrame(after.toPandas(), docs.schema)
         assert after.select("doc_id").subtract(kept.select("doc_id")).count() == 0
         before, kept = kept, after
-    want = {i for i, _, c in brute_components(texts(before)) if i == c}
+    want = {i for i, _, c, _ in brute_components(texts(before)) if i == c}
     assert {r.doc_id for r in kept.collect()} == want
     got = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == want
