@@ -46,7 +46,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """At most so many labelled documents (id, text, label), each text whole and of at most max_bytes.
 
     The ids are the first in the order of a hash, so the sample is the same on every
-    run; an id labelled more than once counts with its largest label.
+    run; an id labelled more than once counts with its largest label, one of several
+    texts with the least of them.
     """
     picked = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -59,5 +60,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
         .where(F.octet_length("_text") <= max_bytes)
         .join(F.broadcast(picked), "_id")
-        .dropDuplicates(["_id"])
+        .groupBy("_id")
+        .agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
     )

@@ -75,8 +75,6 @@ def features(texts) -> np.ndarray:
     length = words.ends - words.starts
     k = len(CLASSES)
     out[:, k] = np.log1p(size)
-    if not len(words.row):
-        return out
 
     def mean(x: np.ndarray) -> np.ndarray:
         return _share(np.bincount(words.row, x, n), count)
