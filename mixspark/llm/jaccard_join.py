@@ -523,8 +523,8 @@ def _met(posting: DataFrame, index, n: int) -> DataFrame:
 def _clusters(texts: DataFrame, sets: DataFrame, shared: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """labels (id, component) of the classes that are in clusters, and members: these with their differences from their lead."""
     # A class whose least id has other texts too can't be told by it: it is in no cluster.
-    several = sets.groupBy("rep").count().where("count > 1").select("rep").unionByName(shared.select(F.col("a").alias("rep")))
-    alone = sets.join(several, "rep", "left_anti")
+    several = cut(sets.groupBy("rep").count().where("count > 1").select("rep").unionByName(shared.select(F.col("a").alias("rep"))))
+    alone = sets.join(small(several, several.count()), "rep", "left_anti")
     minima = alone.select("rep", "n", F.posexplode("keys").alias("k", "key"))
     lead = minima.groupBy("k", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
     near = minima.join(lead, ["k", "key"]).where("rep <> lead.rep AND 100 * n >= {p} * lead.n AND 100 * lead.n >= {p} * n".format(p=percent))
@@ -534,17 +534,18 @@ def _clusters(texts: DataFrame, sets: DataFrame, shared: DataFrame, n: int, perc
     overlap = F.col("lead_n") - F.octet_length("lacks") / 8
     linked = first.where(100 * overlap >= percent * (F.col("n") + F.col("lead_n") - overlap))
     labels = cut(components(linked.select("a", F.col("lead").alias("b"))))
+    k = labels.count()
     # Those that were compared with their cluster's lead already, and the others.
     own = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("lead"))
-    known = cut(linked.join(own, ["a", "lead"], "left_semi"))
-    others = cut(own.join(known.select("a"), "a", "left_anti"))
+    known = cut(linked.join(small(own, k), ["a", "lead"], "left_semi"))
+    others = cut(own.join(small(known.select("a"), k), "a", "left_anti"))
     if not others.isEmpty():
         known = known.unionByName(_differences(others, texts, n))
     leads = known.groupBy("lead").agg(F.min("lead_n").alias("n"))
     none = F.lit(b"")
     members = known.unionByName(leads.select(F.col("lead").alias("a"), "lead", "n", F.col("n").alias("lead_n"), none.alias("lacks"), none.alias("beside")))
-    copies = alone.select(F.col("rep").alias("a"), "copies")
-    return labels, members.join(copies, "a")
+    copies = cut(sets.select(F.col("rep").alias("a"), "copies").join(small(labels.select(F.col("id").alias("a")), k), "a", "left_semi"))
+    return labels, members.join(small(copies, k), "a")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE, coarse: int = COARSE) -> DataFrame:
@@ -564,14 +565,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     return every.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "same")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE, coarse: int = COARSE) -> DataFrame:
-    """id_col, n_shingles, component_id, class_id (least id with the same set), n_links (rows it is linked with) of every row."""
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, range_bytes: int = RANGE, coarse: int = COARSE, counted: bool = True) -> DataFrame:
+    """id_col, n_shingles, component_id, class_id (least id with the same set) and, where counted, n_links (rows it is linked with) of every row."""
     # 1. Classes of equal sets.
     texts, rows, sets, shared, index = _classes(docs, id_col, text_col, n, percent, range_bytes, coarse)
 
     # 2. Clusters of similar classes, and what is derived of their links.
     labels, members = _clusters(texts, sets, shared, n, percent)
-    _, inside = _within(members, percent, False)
 
     # 3. Links between clusters. Copies of a class don't post; the others post under their cluster's label.
     copies = shared.select(F.col("a").alias("_id"), F.lit(None).cast("long").alias("_label"), F.lit(True).alias("_copy"))
@@ -595,17 +595,22 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     joined = components(ends.select("a", "b").unionByName(several.select("a", "b")))
     final = known_component(shared, label, joined)
 
+    out = rows.select("id", "n").join(small(final, final.count()), "id", "left").withColumn("_class", F.coalesce("class", "id"))
+    kind = docs.schema[id_col].dataType
+    columns = [F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"), F.col("_class").cast(kind).alias("class_id")]
+    if not counted:
+        return out.select(*columns)
+
     # Links of a class: its other rows, its cluster's, and the rows of the classes it was found to link with.
+    _, inside = _within(members, percent, False)
     size = sets.groupBy(F.col("rep").alias("a")).agg(F.sum("copies").alias("copies"))
     partners = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(size.withColumnRenamed("a", "b"), "b")
     own = size.where("copies > 1").select("a", (F.col("copies") - 1).alias("links"))
     total = own.unionByName(inside).unionByName(partners.select("a", F.col("copies").alias("links"))).groupBy(F.col("a").alias("_class")).agg(F.sum("links").alias("_links")).where("_links > 0")
     total = cut(total)
-    out = rows.select("id", "n").join(small(final, final.count()), "id", "left").withColumn("_class", F.coalesce("class", "id"))
     out = out.join(small(total, total.count()), "_class", "left")
-    kind = docs.schema[id_col].dataType
     links_of = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("_links", F.lit(0))).otherwise(0).cast("long")
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"), F.col("_class").cast(kind).alias("class_id"), links_of.alias("n_links"))
+    return out.select(*columns, links_of.alias("n_links"))
 
 
 def known_component(shared: DataFrame, label: DataFrame, joined: DataFrame) -> DataFrame:

@@ -265,7 +265,7 @@ def test_jaccard_join(spark, docs, odd, none):
             w[rng.randrange(80)] = f"v{rng.randrange(30)}"
         near.append((i, " ".join(w) if i % 2 else " ".join(base[:30] + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([5, 10, 60]))])))
     for df in (docs, odd.where("doc_id IS NOT NULL"), spark.createDataFrame(near, "doc_id bigint, text string")):
-        for coarse in (12, 1):
+        for coarse in (12, 1) if df is docs else (12,):
             got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.similar(df, range_bytes=20_000, coarse=coarse).collect())
             assert got == brute_components(texts(df))
     assert jaccard_join.similar(none).count() == 0
