@@ -42,7 +42,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat its id the one with the least text stays (null before all; then
     the least lang, source, n_chars). Rows without an id are in no group and stay.
     """
-    found = jaccard_join.similar(docs)
+    found = jaccard_join.similar(docs, counted=False)
     ids = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
     once, repeated = ids.where("rows = 1").select("doc_id"), ids.where("rows > 1").select("doc_id")
     kept = docs.where("doc_id IS NOT NULL").join(once, "doc_id", "left_semi").select(*COLUMNS)
