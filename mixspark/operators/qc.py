@@ -11,8 +11,9 @@ from mixspark.functions.columns import pearson
 UNKNOWN = ("Unknown", "UND", "Unassigned", "Ambiguous", "Mixed", "Doublet")
 
 
-def filter_unknown(cells: DataFrame) -> DataFrame:
-    return cells.where(~F.col("cell_type").isin(*UNKNOWN))
+def filter_unknown(cells: DataFrame, pattern: str | None = None) -> DataFrame:
+    """Cells whose label is none of UNKNOWN or, with a pattern, doesn't contain it (a regular expression)."""
+    return cells.where(~F.col("cell_type").isin(*UNKNOWN) if pattern is None else ~F.col("cell_type").rlike(pattern))
 
 
 def min_cells(cells: DataFrame, least: int = 200) -> DataFrame:

@@ -8,6 +8,7 @@ from mixspark.operators import binning, features, graph, metrics, qc, sketch, so
 from mixspark.plans import queries
 from mixspark import Deconvolution, deconvolve, multiscale
 from mixspark.sources import tables
+from mixspark.sources.synthetic import SMALL, generate
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
@@ -56,6 +57,23 @@ def test_fit_recovers_mixtures(spark):
     assert model.summary()["n_spots"] == 60 and model.info_.n_iterations >= 1
 
 
+@pytest.mark.parametrize("method", [{"spatial_method": "knn"}, {"spatial_method": "radius", "radius": 1.5}])
+def test_synthetic_mixtures_are_recovered(spark, method):
+    p = generate(spark, SMALL)
+    fits = [Deconvolution(sketch_dim=64, n_hvg=100, n_markers_per_type=15, **method).fit(p.counts, p.signatures, p.spots, p.types) for _ in range(2)]
+    got, again = (f.get_cell_type_proportions().toPandas().sort_values(["spot_id", "cell_type"]).proportion.to_numpy() for f in fits)
+    assert np.allclose(got, again, atol=1e-9)
+    r = {(x.scope, x.metric): x.value for x in metrics.evaluate(metrics.pairs(fits[0].get_cell_type_proportions(), p.truth)).collect()}
+    # Signatures are noisy and mixtures even: the survey's bound for this problem is 0.3.
+    assert r["overall", "pearson"] > 0.3 and r["overall", "rmse"] < 0.2
+
+
+def test_labels_by_pattern(spark):
+    cells = spark.createDataFrame([(0, "Unknown 2"), (1, "T"), (2, "Doublet"), (3, "UND")], "cell_id bigint, cell_type string")
+    assert {r.cell_id for r in qc.filter_unknown(cells).collect()} == {0, 1}
+    assert {r.cell_id for r in qc.filter_unknown(cells, "Unknown|UND").collect()} == {1, 2}
+
+
 def test_update_matches_scalar_loop():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(3, 8))
