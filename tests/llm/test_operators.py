@@ -397,6 +397,34 @@ def test_descent_makes_the_graph(spark):
     assert shares[-1][1] <= nn_descent.DELTA < shares[-2][1]
 
 
+def test_landmarks_of_many_parts(spark):
+    """What the parts send to the driver doesn't grow with their number."""
+    index = spark.range(0, 200_000, 1, 100).select("id", F.unhex(F.repeat(F.sha2(F.col("id").cast("string"), 256), 16)).alias("v"), F.array("id").alias("near"))
+    queries = spark.createDataFrame([], "query_id bigint, v binary, start bigint")
+    context = spark.sparkContext
+    context.setJobGroup("landmarks", "")
+    try:
+        assert nn_descent.search(index, queries).count() == 0
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    stages = {i for j in context.statusTracker().getJobIdsForGroup("landmarks") for i in context.statusTracker().getJobInfo(j).stageIds}
+    assert 0 < sum(context._jsc.sc().statusStore().lastStageAttempt(i).resultSize() for i in stages) < 4_000_000
+    # They are the ones of least hash, also where the hashes looked at are too few at first, and all of a small table.
+    want = [r.id for r in index.orderBy(F.xxhash64("id"), "id").select("id").limit(nn_descent.LANDMARKS).collect()]
+    assert [r.id for r in nn_descent.landmarks(index, 200_000)] == [r.id for r in nn_descent.landmarks(index, 10**9)] == want
+    assert len(nn_descent.landmarks(index.where("id < 7"), 7)) == 7
+
+
+def test_repeated_short_vectors(spark, monkeypatch):
+    """Many repeated vectors aren't broadcast, however short they are."""
+    monkeypatch.setattr("mixspark.llm.common.BROADCAST_ROWS", 100)
+    twice = spark.range(200).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 100 + 1).cast("float")).alias("embedding"))
+    _, members, n, _ = nn_descent.nodes_of(twice, "vec_id", "embedding")
+    assert "strategy=broadcast" not in members._jdf.queryExecution().analyzed().toString()
+    assert n == 100 and {(r.vec_id, r.id) for r in members.collect()} == {(i, i % 100) for i in range(200)}
+
+
 def test_language_id(spark, docs, odd, none):
     model = language_id.fit(docs, F.col("doc_id") % 4 != 0)
     got = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 4 = 0").toPandas()
