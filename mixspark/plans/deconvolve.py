@@ -48,8 +48,11 @@ class Deconvolution:
         if self.radius is not None and self.radius <= 0:
             raise ValueError("radius must be positive")
 
-    def fit(self, counts: DataFrame, signatures: DataFrame, spots: DataFrame, cell_types: list[str]) -> Deconvolution:
-        """counts: spot_id, gene_id, value. signatures: gene_id, x in the order of cell_types. spots: spot_id, coords."""
+    def fit(self, counts: DataFrame, signatures: DataFrame, spots: DataFrame, cell_types: list[str], counted: DataFrame | None = None) -> Deconvolution:
+        """counts: spot_id, gene_id, value. signatures: gene_id, x in the order of cell_types. spots: spot_id, coords.
+
+        counted: spot_id of the spots that counts have, where they are known without going through counts.
+        """
         spark, k = counts.sparkSession, len(cell_types)
         if not k:
             raise ValueError("no cell types")
@@ -57,24 +60,27 @@ class Deconvolution:
         first = signatures.first()
         if first is None or len(first.x) != k:
             raise ValueError("signatures and cell types differ in number")
-        if not counts.select("spot_id").distinct().join(spots, "spot_id", "left_anti").isEmpty():
+        if not (counts if counted is None else counted).select("spot_id").distinct().join(spots, "spot_id", "left_anti").isEmpty():
             raise ValueError("counts have spots without coordinates")
         spots = cut(spots.select("spot_id", "coords"))
         self.n_spots_, self.n_cell_types_, self.cell_type_names_ = spots.count(), k, list(cell_types)
-        counts = cut(counts.join(signatures.select("gene_id"), "gene_id", "left_semi"))
-        if self.n_spots_ and counts.isEmpty():
-            raise ValueError("no counts of the genes that the signatures have")
+        shared = counts.join(signatures.select("gene_id"), "gene_id", "left_semi")
         if self.n_hvg:
+            shared = counts = cut(shared)
             moments = features.gene_moments(counts, signatures, self.n_spots_)
             chosen = features.informative_genes(cut(features.dispersions(cut(moments))), signatures, self.n_hvg, self.n_markers_per_type)
         else:
             chosen = features.informative_genes(signatures, signatures, 0, self.n_markers_per_type)
         self.gene_idx_ = cut(chosen.orderBy("gene_id"))
+        # Genes are chosen in thousands at most. Counts that are themselves sums are only summed for these.
+        counts = cut(counts.join(F.broadcast(self.gene_idx_), "gene_id", "left_semi"))
+        if self.n_spots_ and counts.isEmpty() and shared.isEmpty():
+            raise ValueError("no counts of the genes that the signatures have")
         own = cut(signatures.join(self.gene_idx_, "gene_id", "left_semi"))
         lev = {r.gene_id: r.leverage for r in features.leverage(own).collect()}
         genes = sorted(lev)
         self.n_genes_ = len(genes)
-        y = features.normalise(features.subset_genes(counts, self.gene_idx_), self.preprocess, self.n_spots_)
+        y = features.normalise(counts, self.preprocess, self.n_spots_)
         x = {r.gene_id: r.x for r in features.normalise_signatures(own, self.preprocess).collect()}
         # Sketch: S has a row for each gene. X S and, folded into each gene's weights, S (X S)'.
         bucket, weight = sketch.countsketch(len(genes), self.sketch_dim, [lev[g] for g in genes], self.random_state)

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixspark.functions.columns import argmax
+from mixspark.functions.lineage import cut
 from mixspark.operators import binning, features, graph, metrics, qc, sketch, solver
+from mixspark.plans.deconvolve import Deconvolution
 from mixspark.plans.deconvolve import deconvolve as fit_deconvolution
 from mixspark.plans.deconvolve import multiscale
 from mixspark.sources import tables
@@ -610,10 +612,19 @@ def multiscale_bins(s, d):
 def language_mixture(s: SparkSession, d: str) -> DataFrame:
     """The mixture of languages of every document, from counts of its tokens; its neighbours are those on a lattice of ids."""
     docs = _t(s, d, "documents")
-    words = docs.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.col("doc_id").alias("spot_id"), F.abs(F.xxhash64("w")).alias("gene_id")).agg(F.count("*").cast("double").alias("value"))
+    words = lambda rows, c: rows.select(c, F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("w")).where("w <> ''").select(c, F.abs(F.xxhash64("w")).alias("gene_id"))
+    counts = words(docs.withColumnRenamed("doc_id", "spot_id"), "spot_id").groupBy("spot_id", "gene_id").agg(F.count("*").cast("double").alias("value"))
     # Markers come from all words; documents without a language are spots, but no part of the reference.
     cells = docs.where("lang IS NOT NULL").select(F.col("doc_id").alias("cell_id"), F.col("lang").alias("cell_type"))
     spots = docs.select(F.col("doc_id").alias("spot_id"), F.array((F.col("doc_id") % 1000).cast("double"), F.floor(F.col("doc_id") / 1000).cast("double")).alias("coords"))
-    got = fit_deconvolution(counts, counts.withColumnRenamed("spot_id", "cell_id"), cells, spots, n_hvg=0, spatial_method="radius", radius=1.5)
+    # A word counts for its own row's language, and no counts of documents move; only documents whose id repeats have words of other rows, and those are joined.
+    repeated = cut(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    few = F.broadcast(repeated) if repeated.count() <= 20_000 else repeated
+    alone = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", F.col("lang").alias("cell_type")).join(few, "doc_id", "left_anti")
+    several = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").join(cells.withColumnRenamed("cell_id", "doc_id"), "doc_id")
+    labelled = words(alone, "cell_type").unionByName(words(several, "cell_type")).withColumn("value", F.lit(1.0))
+    types = tables.cell_types(cells)
+    signatures = tables.gene_major(tables.signatures_of(labelled, cells), types)
+    counted = docs.where(F.lower("text").rlike("[a-z]")).select(F.col("doc_id").alias("spot_id"))
+    got = Deconvolution(n_hvg=0, spatial_method="radius", radius=1.5).fit(counts, signatures, spots, types, counted)
     return got.get_dominant_cell_type().join(docs.select(F.col("doc_id").alias("spot_id"), "lang"), "spot_id").select("spot_id", F.col("cell_type").alias("dominant"), "lang")

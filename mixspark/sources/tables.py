@@ -28,7 +28,12 @@ def reference_signatures(ref_counts: DataFrame, ref_cells: DataFrame, method: st
     """cell_type, gene_id, value: the mean or sum over all cells of a type, those without a stored count included."""
     if method not in ("mean", "sum"):
         raise ValueError(f"unknown method: {method}")
-    sums = ref_counts.join(ref_cells, "cell_id").groupBy("cell_type", "gene_id").agg(F.sum("value").alias("value"))
+    return signatures_of(ref_counts.join(ref_cells, "cell_id"), ref_cells, method)
+
+
+def signatures_of(labelled: DataFrame, ref_cells: DataFrame, method: str = "mean") -> DataFrame:
+    """reference_signatures of counts that come with their cell's type: cell_type, gene_id, value, in any number of rows."""
+    sums = labelled.groupBy("cell_type", "gene_id").agg(F.sum("value").alias("value"))
     if method == "sum":
         return sums
     cells = ref_cells.groupBy("cell_type").agg(F.countDistinct("cell_id").alias("n"))

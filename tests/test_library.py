@@ -1,6 +1,7 @@
 """The library's queries against SQL at the smallest scale, its invariants, and its errors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +339,38 @@ def test_language_mixture_takes_all_words_and_documents(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.spot_id: (r.dominant, r.lang) for r in queries.Q["language_mixture"](spark, str(tmp_path)).collect()}
     assert got == {0: ("x", "x"), 1: ("y", "y"), 2: ("x", "x"), 3: ("y", "y"), 4000: ("y", None)}
+
+
+def test_language_mixture_moves_no_counts_of_documents(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    word = lambda i: "".join(chr(97 + int(x)) for x in str(i))
+    docs = [(i, " ".join(map(word, rng.permutation(5000))) + " " + t * 3, t) for i, t in enumerate("xy" * 75)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = sent()
+    got = queries.Q["language_mixture"](spark, str(tmp_path)).collect()
+    assert len(got) == 150 and all(r.dominant == r.lang for r in got)
+    # A count of a word in a document has a hash of 8 bytes.
+    assert sent() - before < 8 * 150 * 5000
+
+
+def test_language_mixture_of_repeated_ids(spark, tmp_path, monkeypatch):
+    docs = [(0, "a a b", "x"), (0, "c B", "y"), (0, "d", None), (1, "a e", "x"), (2, "f", "y"), (2, "f c", "y"), (3, "1 2", "x"), (4, None, "y"), (5, "g", None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+
+    def fit(self, counts, signatures, spots, types, counted):
+        seen.update(sig={r.gene_id: dict(zip(types, r.x, strict=True)) for r in signatures.collect()}, counts=counts.collect(), counted={r[0] for r in counted.collect()})
+        self.fitted, self.cell_type_names_ = True, types
+        self.proportions_ = spots.select("spot_id", F.array(F.lit(0.4), F.lit(0.6)).alias("p"))
+        return self
+
+    monkeypatch.setattr(Deconvolution, "fit", fit)
+    queries.Q["language_mixture"](spark, str(tmp_path))
+    counts = spark.createDataFrame(seen["counts"])
+    cells = spark.createDataFrame([(i, t) for i, _, t in docs if t], "cell_id bigint, cell_type string")
+    want = {}
+    for r in tables.reference_signatures(counts.withColumnRenamed("spot_id", "cell_id"), cells).collect():
+        want.setdefault(r.gene_id, {"x": 0.0, "y": 0.0})[r.cell_type] = r.value
+    assert {g: v for g, v in seen["sig"].items() if any(v.values())} == want
+    assert seen["counted"] == {r.spot_id for r in seen["counts"]}
