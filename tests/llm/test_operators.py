@@ -530,3 +530,12 @@ def test_jaccard_links_within_clusters(spark):
     assert len(want) > 8  # more than links with one lead
     assert sorted((r.a, r.b) for r in got if not r.same) == sorted(want)
     assert [(r.a, r.b) for r in got if r.same] == [(9, 2)]
+
+
+def test_requests_are_not_sent_to_the_driver(spark):
+    index = spark.range(1000)
+    plan = lambda rows: index.join(nn_descent._sided(spark.range(50).withColumnRenamed("id", "of").withColumn("id", F.col("of")), rows), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(1000)
+    # Neither for their number nor because they turn out to take few bytes.
+    for rows in (100_000, 2_000_000):
+        assert "Broadcast" not in plan(rows)
