@@ -23,8 +23,8 @@ def aggregate_bins(spots: DataFrame, width: float) -> DataFrame:
     return out.withColumn("bin_id", F.concat_ws("_", "gx", "gy"))
 
 
-def bins_of_size(spots: DataFrame, target: int, original: int = 8) -> DataFrame:
-    """aggregate_bins for spots that stand for squares of a size: bins of target // original times their spacing.
+def bins_of_size(spots: DataFrame, target: int, original: int = 8, apart: float | None = None) -> DataFrame:
+    """aggregate_bins for spots that stand for squares of a size: bins of target // original times their spacing (apart, if known).
 
     Where that factor is 1 every spot is a bin of its own: gx is its id and gy 0.
     """
@@ -34,7 +34,7 @@ def bins_of_size(spots: DataFrame, target: int, original: int = 8) -> DataFrame:
     if factor == 1:
         own = spots.select("spot_id", "coords", F.col("spot_id").alias("gx"), F.lit(0).cast("long").alias("gy"))
         return own.withColumn("bin_id", F.concat_ws("_", "gx", "gy"))
-    return aggregate_bins(spots, spacing(spots) * factor)
+    return aggregate_bins(spots, (spacing(spots) if apart is None else apart) * factor)
 
 
 def numbered(bins: DataFrame) -> DataFrame:

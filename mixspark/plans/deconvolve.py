@@ -157,11 +157,20 @@ BIN_SIZES, BASE = (8, 16, 32, 64, 128), 8
 def multiscale(counts: DataFrame, signatures: DataFrame, spots: DataFrame, types: list[str], sizes: Sequence[int] = BIN_SIZES, base: int = BASE, **params) -> DataFrame:
     """bin_size, spot_id (the bin's number), cell_type, proportion: a fit on the bins of every size, in multiples of the spots' spacing."""
     counts, signatures, spots = cut(counts), cut(signatures), cut(spots)
-    out = None
+    apart = binning.spacing(spots) if any(size // base > 1 for size in sizes) else None
+    out, finer = None, None
     for size in sizes:
-        bins = cut(binning.numbered(binning.bins_of_size(spots, size, base)))
+        factor = size // base
+        bins = cut(binning.numbered(binning.bins_of_size(spots, size, base, apart)))
         of = bins.groupBy("bin").agg(F.array(F.avg(F.get("coords", F.lit(0))), F.avg(F.get("coords", F.lit(1)))).alias("coords")).select(F.col("bin").alias("spot_id"), "coords")
-        summed = counts.join(bins.select("spot_id", "bin"), "spot_id").groupBy(F.col("bin").alias("spot_id"), "gene_id").agg(F.sum("value").alias("value"))
+        if finer is not None and factor % finer[0] == 0 and (factor // finer[0]).bit_count() == 1:
+            # Widths that double are exact, so these bins are whole ones of those before.
+            parts, inside = finer[2], finer[1].select("spot_id", F.col("bin").alias("_in")).join(bins.select("spot_id", "bin"), "spot_id").select(F.col("_in").alias("spot_id"), "bin").distinct()
+        else:
+            parts, inside = counts, bins.select("spot_id", "bin")
+        summed = cut(parts.join(inside, "spot_id").groupBy(F.col("bin").alias("spot_id"), "gene_id").agg(F.sum("value").alias("value")))
+        if factor > 1:
+            finer = factor, bins, summed
         got = Deconvolution(**params).fit(summed, signatures, of, types).get_cell_type_proportions().select(F.lit(size).alias("bin_size"), "spot_id", "cell_type", "proportion")
         out = got if out is None else out.unionByName(got)
     return out

@@ -374,3 +374,11 @@ def test_language_mixture_of_repeated_ids(spark, tmp_path, monkeypatch):
         want.setdefault(r.gene_id, {"x": 0.0, "y": 0.0})[r.cell_type] = r.value
     assert {g: v for g, v in seen["sig"].items() if any(v.values())} == want
     assert seen["counted"] == {r.spot_id for r in seen["counts"]}
+
+
+def test_multiscale_measures_the_spacing_once(spark, monkeypatch):
+    counts, sig, spots, _ = _problem(spark, n=24)
+    times, spacing = [], binning.spacing
+    monkeypatch.setattr(binning, "spacing", lambda s: times.append(1) or spacing(s))
+    multiscale(counts, sig, spots, list("abcd"), [16, 32], n_hvg=0, n_markers_per_type=10, sketch_dim=64, spatial_method="grid", max_iter=1)
+    assert len(times) == 1
