@@ -11,6 +11,7 @@ tiles; a graph of one tile needs a single job.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,7 +134,7 @@ def _numbers(x: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
-def _boards(h: DataFrame, edges: DataFrame, near: DataFrame, tiles: DataFrame, k: int) -> DataFrame:
+def _boards(h: DataFrame, edges: DataFrame, near: DataFrame, tiles: DataFrame, k: int, depth: int) -> DataFrame:
     """A row for each tile: its spots and surroundings by hop and id, what they are made of, their neighbours, and which of its spots other tiles need."""
     lists = edges.groupBy(F.col("i").alias("spot_id")).agg(F.sort_array(F.collect_list("j")).alias("near"))
     whole = cut(near.join(h, "spot_id").join(lists, "spot_id", "left").join(tiles.withColumnRenamed("tile", "owner"), "spot_id"))
@@ -144,9 +145,8 @@ def _boards(h: DataFrame, edges: DataFrame, near: DataFrame, tiles: DataFrame, k
         own = own.sort_by([("hop", "ascending"), ("spot_id", "ascending")])
         ids, hop = own.column("spot_id").to_numpy(), own.column("hop").to_numpy()
         near = own.column("near").combine_chunks()
-        # Beyond the last hop nothing is computed, so no neighbours are needed there.
-        last = int(hop.max()) if hop.max() else 1
-        inner = int(np.searchsorted(hop, last))
+        # At `depth` steps nothing is computed, so no neighbours are needed there. A tile that reaches all there is in fewer steps computes its last ones too.
+        inner = int(np.searchsorted(hop, depth))
         starts = near.offsets.to_numpy()[: inner + 1].astype(np.int64)
         starts -= starts[0]
         by = np.argsort(ids)
@@ -164,6 +164,13 @@ def _boards(h: DataFrame, edges: DataFrame, near: DataFrame, tiles: DataFrame, k
     return cut(rows.groupBy("at").cogroup(needed.groupBy("at")).applyInArrow(build, _BOARD))
 
 
+def _rows(batches) -> Iterator[dict]:
+    """Rows of batches, one at a time: a batch has many tiles, and only one is copied."""
+    for b in batches:
+        for i in range(len(b)):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 class _Board:
     """A tile's row, opened, and the values of all its spots."""
 
@@ -218,9 +225,8 @@ def _exchange(boards: DataFrame, messages: DataFrame | None, n: int, gram: np.nd
         return pa.table({c.split()[0]: pa.array(x, t) for c, x, t in zip(_MESSAGE.split(", "), zip(*rows, strict=True), kinds, strict=True)})
 
     def begin(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                yield from moved(_Board(row, k)).to_batches()
+        for row in _rows(batches):
+            yield from moved(_Board(row, k)).to_batches()
 
     def go_on(key, row, got):
         board = _Board(row.to_pylist()[0], k)
@@ -243,9 +249,8 @@ def _values(boards: DataFrame, messages: DataFrame | None, k: int) -> DataFrame:
         return pa.table({"spot_id": pa.array(board.ids[:own]), "h": lists(board.h[:own]), "b": lists(board.b[:own])})
 
     def uniform(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                yield from rows(_Board(row, k)).to_batches()
+        for row in _rows(batches):
+            yield from rows(_Board(row, k)).to_batches()
 
     def read(key, row, got):
         board = _Board(row.to_pylist()[0], k)
@@ -279,7 +284,7 @@ def solve(h: DataFrame, edges: DataFrame, gram: np.ndarray, lam: float = 0.1, rh
         near, depth = tiles.select("tile", "spot_id", F.lit(0).alias("hop")), max(1, max_iter)
     else:
         near, depth = _surroundings(tiles, edges, n, depth)
-    boards = _boards(h, edges, near, tiles, k)
+    boards = _boards(h, edges, near, tiles, k, depth)
     scaled = rho * float(np.mean(np.diag(gram)))
     messages, converged, change, done, seen = None, False, 0.0, 0, []
     while done < max_iter and not converged:

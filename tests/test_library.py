@@ -382,3 +382,9 @@ def test_multiscale_measures_the_spacing_once(spark, monkeypatch):
     monkeypatch.setattr(binning, "spacing", lambda s: times.append(1) or spacing(s))
     multiscale(counts, sig, spots, list("abcd"), [16, 32], n_hvg=0, n_markers_per_type=10, sketch_dim=64, spatial_method="grid", max_iter=1)
     assert len(times) == 1
+
+
+def test_boards_are_opened_one_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"tile": pa.array([0, 1, 2], pa.int32())})
+    rows = solver._rows(iter([batch]))
+    assert next(rows) == {"tile": 0} and [r["tile"] for r in rows] == [1, 2]
