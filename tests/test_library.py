@@ -388,3 +388,13 @@ def test_boards_are_opened_one_at_a_time():
     batch = pa.RecordBatch.from_pydict({"tile": pa.array([0, 1, 2], pa.int32())})
     rows = solver._rows(iter([batch]))
     assert next(rows) == {"tile": 0} and [r["tile"] for r in rows] == [1, 2]
+
+
+def test_full_cells_are_dealt_to_groups(spark):
+    spots = spark.createDataFrame([(i, [0.1 + i / 1000, 0.5 * (i % 3)]) for i in range(90)], "spot_id bigint, coords array<double>")
+    one, many = (graph.within(spots, spots, 0.6, 2, n) for n in (None, 7))
+    pairs = lambda x: sorted((r.i, r.j, r.d2) for r in x.collect())
+    assert pairs(one) == pairs(many) and len(pairs(many)) > 90
+    # Cells of 30 and 60 points in 5 and 9 groups.
+    groups = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "group" in groups and pairs(graph.radius_graph(spots, 0.6).withColumn("d2", F.lit(0))) == [(i, j, 0) for i, j, _ in pairs(one)]
