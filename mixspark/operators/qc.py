@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mixspark.functions.columns import pearson
 
+#: Genes up to which counts of others are left out by a broadcast; beyond it their sums are, which are few.
+FEW_GENES = 20_000
 #: Labels that stand for no type. Fixed values.
 UNKNOWN = ("Unknown", "UND", "Unassigned", "Ambiguous", "Mixed", "Doublet")
 
@@ -64,10 +66,10 @@ def region_means(proportions: DataFrame, regions: DataFrame) -> DataFrame:
     return proportions.join(regions, "spot_id").groupBy("region", "cell_type").agg(F.avg("proportion").alias("mean_proportion"))
 
 
-def marker_correlation(counts: DataFrame, proportions: DataFrame, markers: DataFrame) -> DataFrame:
+def marker_correlation(counts: DataFrame, proportions: DataFrame, markers: DataFrame, parts: int | None = None) -> DataFrame:
     """cell_type, gene_id, r between a marker's counts and its type's proportion over all spots."""
     wanted = markers.select("cell_type", "gene_id").distinct()
-    return gene_correlation(counts, proportions, wanted.select("gene_id").distinct()).join(wanted, ["cell_type", "gene_id"], "left_semi")
+    return gene_correlation(counts, proportions, wanted.select("gene_id").distinct(), parts).join(wanted, ["cell_type", "gene_id"], "left_semi")
 
 
 def coherence(proportions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,12 +79,19 @@ def coherence(proportions: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "i").join(b, ["j", "cell_type"]).groupBy("cell_type").agg(pearson(F.col("x"), F.col("y")).alias("coherence"))
 
 
-def gene_correlation(counts: DataFrame, proportions: DataFrame, genes: DataFrame) -> DataFrame:
-    """cell_type, gene_id, r of every gene's counts with every type's proportion, from sums over the stored counts only."""
+def gene_correlation(counts: DataFrame, proportions: DataFrame, genes: DataFrame, parts: int | None = None) -> DataFrame:
+    """cell_type, gene_id, r of every gene's counts with every type's proportion, from sums over the stored counts only.
+
+    parts: into so many parts the counts come dealt by spot_id; they stay so until they are summed, whatever few bytes they take packed.
+    """
     y, p = F.col("proportion"), F.col("proportion") - F.col("mean")
     types = proportions.groupBy("cell_type").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("vy"), (F.max(y) == F.min(y)).alias("flat"))
+    if parts is not None:
+        proportions = proportions.repartition(parts, "spot_id")
+    if genes.count() <= FEW_GENES:
+        counts = counts.join(F.broadcast(genes.select("gene_id")), "gene_id", "left_semi")
     # Tens of types at most.
-    rows = counts.join(genes.select("gene_id"), "gene_id", "left_semi").join(proportions, "spot_id").join(F.broadcast(types.select("cell_type", "mean")), "cell_type")
+    rows = counts.join(proportions, "spot_id").join(F.broadcast(types.select("cell_type", "mean")), "cell_type")
     v = F.col("value")
     sums = rows.groupBy("cell_type", "gene_id").agg(F.count("*").alias("k"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum(v * p).alias("c"), (F.max(v) == F.min(v)).alias("same"), F.max(v == 0).alias("zeros"))
     n, s = F.col("n"), F.col("s")

@@ -20,6 +20,7 @@ from mixspark.plans.deconvolve import multiscale
 from mixspark.sources import tables
 
 SIDE = 0.12  # radius among the points of embeddings
+ROWS_OF_A_TASK = 500_000  # counts that a task sums, about
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,8 +32,12 @@ def _r(c, digits: int = 6) -> Column:
     return (F.round(c, digits) + F.lit(0.0))
 
 
-def _counts(s, d):
-    return _t(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("spot_id"), F.col("l_partkey").alias("gene_id")).agg(F.sum("l_quantity").alias("value"))
+def _counts(s, d, parts: int | None = None):
+    """parts: deals rows by spot into so many parts."""
+    rows = _t(s, d, "lineitem")
+    if parts is not None:
+        rows = rows.select("l_suppkey", "l_partkey", "l_quantity").repartition(parts, "l_suppkey")
+    return rows.groupBy(F.col("l_suppkey").alias("spot_id"), F.col("l_partkey").alias("gene_id")).agg(F.sum("l_quantity").alias("value"))
 
 
 def _spots(s, d):
@@ -579,7 +584,8 @@ _MARKED = _C + ", " + _SH + """, n AS (SELECT cell_type, count(*) AS n, avg(pred
 def marker_correlation(s, d):
     """Every gene with every type."""
     every = _genes(s, d).select("gene_id", F.explode(F.array(*[F.lit(t) for t in "ANR"])).alias("cell_type"))
-    return qc.marker_correlation(_counts(s, d), _prop(s, d), every).withColumn("r", _r("r"))
+    parts = -(-_t(s, d, "lineitem").count() // ROWS_OF_A_TASK) or 1
+    return qc.marker_correlation(_counts(s, d, parts), _prop(s, d), every, parts).withColumn("r", _r("r"))
 
 
 @_add("coherence", f"WITH {_LAT}, {_SH} SELECT a.cell_type, round({_CORR.format(a='a.pred', b='b.pred')}, 6) AS coherence FROM ed JOIN d a ON a.spot_id = i JOIN d b ON b.spot_id = j AND a.cell_type = b.cell_type GROUP BY 1")

@@ -398,3 +398,12 @@ def test_full_cells_are_dealt_to_groups(spark):
     # Cells of 30 and 60 points in 5 and 9 groups.
     groups = many._jdf.queryExecution().optimizedPlan().toString()
     assert "group" in groups and pairs(graph.radius_graph(spots, 0.6).withColumn("d2", F.lit(0))) == [(i, j, 0) for i, j, _ in pairs(one)]
+
+
+def test_marker_correlation_keeps_counts_as_they_are_dealt(spark):
+    genes, counts, shares = queries._genes(spark, DATA), queries._counts(spark, DATA, 5), queries._prop(spark, DATA)
+    got = qc.gene_correlation(counts, shares, genes, 5)
+    # Counts and proportions meet in these parts.
+    assert got._jdf.queryExecution().executedPlan().toString().count(", 5), REPARTITION_BY_NUM") == 2
+    want = {(r.cell_type, r.gene_id): r.r for r in qc.gene_correlation(queries._counts(spark, DATA), shares, genes).collect()}
+    assert {(r.cell_type, r.gene_id): r.r for r in got.collect()} == pytest.approx(want, abs=1e-9)
